@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradelark.functions.clock import DayMode
 from tradelark.functions.labels import UNKNOWN_CATEGORY
+from tradelark.functions.numbers import total
 from tradelark.market import Market
 from tradelark.operators.cleaning import DELIVERED, PROMISED, PURCHASED
 from tradelark.operators.master import Unmatched, completed, join_kind
@@ -39,7 +40,7 @@ def category_performance(
     return (
         completed(_order_category(market, unmatched))
         .groupBy(CATEGORY)
-        .agg(*line_totals(), F.sum("freight_value").alias("freight_value"), *order_quality(days))
+        .agg(*line_totals(), total("freight_value").alias("freight_value"), *order_quality(days))
         .withColumn("avg_category_spend_per_order", spend_per_order())
     )
 

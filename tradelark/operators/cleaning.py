@@ -133,12 +133,12 @@ def order_features(orders: DataFrame) -> DataFrame:
 def clean_market(market: Market) -> Market:
     """Every cleaning step. Keys, rows and unlisted columns are left as they are."""
     return market.having(
-        customers=standardize_places(market.customers, "customer_city", "customer_state"),
-        sellers=standardize_places(market.sellers, "seller_city", "seller_state"),
-        orders=order_features(parse_timestamps(market.orders, time_columns("orders"))),
-        order_items=parse_timestamps(market.order_items, time_columns("order_items")),
-        reviews=parse_timestamps(market.reviews, time_columns("reviews")),
-        products=translate_categories(market.products, market.category_translation),
+        customers=lambda: standardize_places(market.customers, "customer_city", "customer_state"),
+        sellers=lambda: standardize_places(market.sellers, "seller_city", "seller_state"),
+        orders=lambda: order_features(parse_timestamps(market.orders, time_columns("orders"))),
+        order_items=lambda: parse_timestamps(market.order_items, time_columns("order_items")),
+        reviews=lambda: parse_timestamps(market.reviews, time_columns("reviews")),
+        products=lambda: translate_categories(market.products, market.category_translation),
     )
 
 

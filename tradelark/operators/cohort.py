@@ -77,3 +77,12 @@ def indexes_between(first: str, last: str) -> range:
     """Every month index possible between two purchase dates, "YYYY-MM..." each."""
     (y1, m1), (y2, m2) = ((int(text[:4]), int(text[5:7])) for text in (first, last))
     return range((y2 - y1) * 12 + m2 - m1 + 1)
+
+
+def indexes_present(retention: DataFrame) -> list[int]:
+    """The month indexes that occur, read from a finished retention table.
+
+    Runs a job; what it returns is at most one number per calendar month.
+    """
+    found = retention.select("cohort_index").distinct().orderBy("cohort_index")
+    return [row.cohort_index for row in found.collect()]

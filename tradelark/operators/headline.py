@@ -44,8 +44,8 @@ def business_kpis(
     # Buyers are summed up first: distinct and repeat buyers then are plain counts.
     per_buyer = facts.groupBy(BUYER).agg(
         F.count("*").alias("orders"),
-        F.sum("merchandise_value").alias("merchandise"),
-        F.sum("payment_value").alias("paid"),
+        total("merchandise_value", "null").alias("merchandise"),
+        total("payment_value", "null").alias("paid"),
         F.sum(score).alias("score_sum"),
         F.count(score).alias("scored"),
         F.sum(late.cast("bigint")).alias("late"),
@@ -133,7 +133,7 @@ def customer_type_summary(
             F.count("*").alias("customers"),
             F.sum("orders").alias("orders"),
             total("total_spend", null_sums).alias("revenue"),
-            ratio(F.sum("total_spend"), F.count("total_spend")).alias("average_customer_spend"),
+            ratio(total("total_spend", "null"), F.count("total_spend")).alias("average_customer_spend"),
         )
         .orderBy(F.desc_nulls_last("revenue"), "customer_type")
     )

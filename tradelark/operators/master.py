@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradelark.functions.labels import COMPLETED
-from tradelark.functions.numbers import NullSums, mean_of_whole, ratio, total
+from tradelark.functions.numbers import NullSums, mean_of_whole, total
 from tradelark.market import Market
 from tradelark.operators.cleaning import delay_features
 
@@ -28,17 +28,23 @@ def join_kind(unmatched: Unmatched) -> str:
 
 
 def item_summary(items: DataFrame, null_sums: NullSums = "zero") -> DataFrame:
-    return (
-        items.where(F.col("order_id").isNotNull())
-        .groupBy("order_id")
-        .agg(
-            F.count("order_item_id").alias("item_count"),
-            total("price", null_sums).alias("merchandise_value"),
-            total("freight_value", null_sums).alias("freight_value"),
-            F.countDistinct("product_id").alias("unique_products"),
-            F.countDistinct("seller_id").alias("unique_sellers"),
-        )
+    """Per order: items, merchandise, freight, distinct products, distinct sellers.
+
+    The two distinct counts run beside the sums. Counted together, every item would
+    be sent three times at full width; apart, reports that do not use the distinct
+    counts do not compute them either.
+    """
+    known = items.where(F.col("order_id").isNotNull())
+    sums = known.groupBy("order_id").agg(
+        F.count("order_item_id").alias("item_count"),
+        total("price", null_sums).alias("merchandise_value"),
+        total("freight_value", null_sums).alias("freight_value"),
+    )
+    variety = known.groupBy("order_id").agg(
+        F.countDistinct("product_id").alias("unique_products"),
+        F.countDistinct("seller_id").alias("unique_sellers"),
     )
+    return sums.join(variety, "order_id", "left")
 
 
 def payment_summary(payments: DataFrame, null_sums: NullSums = "zero") -> DataFrame:

@@ -59,7 +59,7 @@ def line_totals() -> list[Column]:
     return [
         F.count("*").alias("orders"),
         F.sum("units_sold").alias("units_sold"),
-        F.sum("merchandise_revenue").alias("merchandise_revenue"),
+        total("merchandise_revenue").alias("merchandise_revenue"),
     ]
 
 

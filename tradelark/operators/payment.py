@@ -26,7 +26,7 @@ def payment_methods(market: Market) -> DataFrame:
     per_order = (
         market.payments.where(F.col("payment_type").isNotNull())
         .groupBy("order_id", "payment_type")
-        .agg(F.count("payment_sequential").alias("records"), F.sum("payment_value").alias("paid"))
+        .agg(F.count("payment_sequential").alias("records"), total("payment_value", "null").alias("paid"))
     )
     methods = (
         _of_completed(per_order, market)
@@ -61,7 +61,7 @@ def installment_groups(market: Market) -> DataFrame:
     return (
         card_orders(market)
         .groupBy(instalment_rank(F.col("installments")).alias("sort_order"))
-        .agg(F.count("*").alias("orders"), F.sum("payment_value").alias("total_payment_value"))
+        .agg(F.count("*").alias("orders"), total("payment_value").alias("total_payment_value"))
         .select(
             instalment_label(F.col("sort_order")).alias("installment_group"),
             "sort_order",

@@ -85,7 +85,7 @@ def monthly_growth(market: Market, period: tuple[str, str] | None = None) -> Dat
     months = facts.groupBy(year_month(F.col(PURCHASED)).alias("purchase_month")).agg(
         F.count("*").alias("orders"),
         F.countDistinct(BUYER).alias("customers"),
-        F.sum("payment_value").alias("revenue"),
+        total("payment_value", "null").alias("revenue"),
     )
     return _with_growth(months, "purchase_month").orderBy("purchase_month")
 

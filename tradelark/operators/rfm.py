@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tradelark.functions.clock import floor_days
 from tradelark.functions.labels import frequency_score, value_segment
-from tradelark.functions.numbers import mean_of_whole, percent, ratio, total
+from tradelark.functions.numbers import hundredths, mean_of_whole, percent, ratio, total
 from tradelark.functions.order_stats import scaled_quantiles, whole_number_ladder
 from tradelark.market import Market
 from tradelark.operators.cleaning import PURCHASED
@@ -43,7 +43,7 @@ def _measures() -> dict[str, Column]:
     """The scored columns as whole numbers: days, and hundredths of money."""
     return {
         "recency": F.col("recency_days").cast("bigint"),
-        "monetary": (F.col("monetary") * 100).cast("bigint"),
+        "monetary": hundredths("monetary"),
     }
 
 
@@ -87,13 +87,17 @@ def rfm_scores(base: DataFrame, *, repeated: RepeatedEdges = "raise") -> DataFra
     # One row with all edges; Spark runs it once and hands the value to every task.
     lookup = edges.agg(F.map_from_entries(F.collect_list(F.struct("measure", "edges")))).scalar()
     measures = _measures()
-    return base.withColumns(
+    scored = base.withColumn("_edges", lookup).withColumns(
         {
-            "recency_score": QUINTILES + 1 - _quintile(measures["recency"], lookup["recency"]),
-            "monetary_score": _quintile(measures["monetary"], lookup["monetary"]),
-            "frequency_score": frequency_score(F.col("frequency")),
+            "recency_score": QUINTILES + 1 - _quintile(measures["recency"], F.col("_edges")["recency"]),
+            "monetary_score": _quintile(measures["monetary"], F.col("_edges")["monetary"]),
         }
     )
+    return with_frequency_score(scored.drop("_edges"))
+
+
+def with_frequency_score(base: DataFrame) -> DataFrame:
+    return base.withColumn("frequency_score", frequency_score(F.col("frequency")))
 
 
 def rfm_segments(scores: DataFrame) -> DataFrame:
@@ -111,7 +115,7 @@ def segment_summary(segments: DataFrame) -> DataFrame:
         mean_of_whole(F.col("recency_days")).alias("average_recency_days"),
         mean_of_whole(F.col("frequency")).alias("average_orders"),
         total("monetary").alias("total_revenue"),
-        ratio(F.sum("monetary"), F.count("monetary")).alias("average_customer_value"),
+        ratio(total("monetary"), F.count("monetary")).alias("average_customer_value"),
     )
     # Totals over at most one row per segment.
     everyone = Window.partitionBy()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelark.functions.clock import DayMode
-from tradelark.functions.numbers import percent
+from tradelark.functions.numbers import percent, total
 from tradelark.market import Market
 from tradelark.operators.cleaning import DELIVERED, PROMISED, PURCHASED
 from tradelark.operators.master import Unmatched, completed, join_kind
@@ -58,7 +58,7 @@ def top_sellers(market: Market, n: int = 10, **variant) -> DataFrame:
 def seller_revenue(market: Market) -> DataFrame:
     """Revenue of every seller with a completed order, known to the seller table or not."""
     return completed(with_order(line_sums(market.order_items, "seller_id"), market)).groupBy("seller_id").agg(
-        F.sum("merchandise_revenue").alias("merchandise_revenue")
+        total("merchandise_revenue").alias("merchandise_revenue")
     )
 
 
@@ -75,10 +75,10 @@ def seller_concentration(revenue: DataFrame, tops: Sequence[int] = (10, 50, 100)
         .withColumn("place", F.row_number().over(Window.orderBy(F.desc("merchandise_revenue"), "seller_id")))
     )
     largest = ranked.agg(
-        *[F.sum(F.when(F.col("place") <= n, F.col("merchandise_revenue"))).alias(f"top_{n}") for n in tops]
+        *[total(F.when(F.col("place") <= n, F.col("merchandise_revenue"))).alias(f"top_{n}") for n in tops]
     )
     overall = revenue.agg(
-        F.struct(F.count("*").alias("sellers"), F.sum("merchandise_revenue").alias("revenue")).alias("overall")
+        F.struct(F.count("*").alias("sellers"), total("merchandise_revenue").alias("revenue")).alias("overall")
     ).scalar()
     return largest.withColumn("overall", overall).select(
         F.col("overall.sellers").alias("active_sellers"),
@@ -109,7 +109,7 @@ def seller_state_summary(market: Market) -> DataFrame:
         .agg(
             F.countDistinct("seller_id").alias("sellers"),
             F.countDistinct("order_id").alias("orders"),
-            F.sum("merchandise_revenue").alias("merchandise_revenue"),
+            total("merchandise_revenue").alias("merchandise_revenue"),
         )
         .orderBy(F.desc("merchandise_revenue"), "seller_state")
     )

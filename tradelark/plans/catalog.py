@@ -187,7 +187,9 @@ CLEAN: dict[str, Callable[[Market], DataFrame]] = {
     "rfm_base": rfm.rfm_base,
     "rfm_recency_score": lambda m: _scores(m, "recency_score"),
     "rfm_monetary_score": lambda m: _scores(m, "monetary_score"),
-    "rfm_frequency_score": lambda m: _scores(m, "frequency_score"),
+    "rfm_frequency_score": lambda m: rfm.with_frequency_score(rfm.rfm_base(m)).select(
+        master.BUYER, "frequency_score"
+    ),
     "rfm_segments": _segments,
     "segment_summary": lambda m: rfm.segment_summary(_segments(m)),
     "top_customers": lambda m: rfm.top_customers(_segments(m)),

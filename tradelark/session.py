@@ -12,6 +12,9 @@ RUNTIME_SETTINGS = {
     # Split an oversized join partition even when the aggregate behind it could
     # have reused the join's partitioning: one more exchange beats one giant task.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sets and medians aggregate in a hash table up to this many groups per task
+    # before they fall back to sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     # Filter the large side of a shuffled join by the keys of the small side.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
 }

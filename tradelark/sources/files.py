@@ -7,6 +7,7 @@ Parquet, which keeps types, and CSV is there for whoever needs it.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,11 +74,11 @@ def read_csv_market(spark: SparkSession, paths: Mapping[str, str]) -> Market:
     absent = [table for table in CONTRACT if table not in paths]
     if absent:
         raise ValueError(f"no input given for: {absent}")
-    return Market(**{table: read_csv_table(spark, table, paths[table]) for table in CONTRACT})
+    return Market(**{table: partial(read_csv_table, spark, table, paths[table]) for table in CONTRACT})
 
 
 def read_parquet_market(spark: SparkSession, folder: str) -> Market:
-    return Market(**{table: spark.read.parquet(f"{folder}/{table}") for table in CONTRACT})
+    return Market(**{table: partial(spark.read.parquet, f"{folder}/{table}") for table in CONTRACT})
 
 
 def write_table(frame: DataFrame, path: str, file_format: str = "parquet") -> None:

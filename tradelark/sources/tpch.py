@@ -23,6 +23,19 @@ TRANSLATIONS = {
 }
 PROMISED_DAYS = 900
 
+# Stated rather than read from the files: no job runs while a query is built.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+        l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,
+        l_shipdate timestamp_ntz""",
+}
+
 
 def _choose(column: str, mapping: dict[str, str]):
     return F.element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), F.col(column))
@@ -30,19 +43,18 @@ def _choose(column: str, mapping: dict[str, str]):
 
 def load_market(spark: SparkSession, folder: str) -> Market:
     def read(table: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{table}.parquet")
+        return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
-    nation, lineitem = read("nation"), read("lineitem")
     return Market(
-        customers=_customers(read("customer"), nation),
-        orders=_orders(read("orders"), lineitem),
-        order_items=_order_items(lineitem),
-        payments=_payments(lineitem),
-        reviews=_reviews(lineitem),
-        products=_products(read("part")),
-        sellers=_sellers(read("supplier"), nation),
-        geolocation=_geolocation(read("customer"), nation),
-        category_translation=_category_translation(spark),
+        customers=lambda: _customers(read("customer"), read("nation")),
+        orders=lambda: _orders(read("orders"), read("lineitem")),
+        order_items=lambda: _order_items(read("lineitem")),
+        payments=lambda: _payments(read("lineitem")),
+        reviews=lambda: _reviews(read("lineitem")),
+        products=lambda: _products(read("part")),
+        sellers=lambda: _sellers(read("supplier"), read("nation")),
+        geolocation=lambda: _geolocation(read("customer"), read("nation")),
+        category_translation=lambda: _category_translation(spark),
     )
 
 
@@ -62,17 +74,20 @@ def _orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     shipped = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.collect_set(F.col("l_shipdate").cast("date")).alias("ship_days")
     )
-    placed = F.col("o_orderdate").cast("timestamp_ntz")
-    arrived = F.array_min(F.filter("ship_days", lambda day: day >= placed)).cast("timestamp_ntz")
+    placed = F.col("o_orderdate")
+    on_time_days = F.filter("ship_days", lambda day: day >= placed.cast("date"))
+    dated = orders.join(shipped, "o_orderkey", "left").withColumn(
+        "arrived", F.array_min(on_time_days).cast("timestamp_ntz")
+    )
     hour = F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))
-    return orders.join(shipped, "o_orderkey", "left").select(
+    return dated.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         _choose("o_orderstatus", STATUS).alias("order_status"),
         (placed + hour).alias("order_purchase_timestamp"),
         (placed + F.make_dt_interval(F.lit(1))).alias("order_approved_at"),
-        arrived.alias("order_delivered_carrier_date"),
-        arrived.alias("order_delivered_customer_date"),
+        F.col("arrived").alias("order_delivered_carrier_date"),
+        F.col("arrived").alias("order_delivered_customer_date"),
         (placed + F.make_dt_interval(F.lit(PROMISED_DAYS))).alias("order_estimated_delivery_date"),
     )
 
@@ -147,6 +162,5 @@ def _geolocation(customer: DataFrame, nation: DataFrame) -> DataFrame:
 
 
 def _category_translation(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(TRANSLATIONS.items()), "product_category_name string, product_category_name_english string"
-    )
+    pairs = ", ".join(f"('{name}', '{english}')" for name, english in TRANSLATIONS.items())
+    return spark.sql(f"VALUES {pairs} AS pairs(product_category_name, product_category_name_english)")
