@@ -88,10 +88,17 @@ CONTRACT: dict[str, tuple[Field, ...]] = {
 
 TABLES = tuple(CONTRACT)
 
+# Added by the readers where row order matters; not part of the data.
+POSITION = "source_position"
+
 
 def columns(table: str) -> list[str]:
     return [field.name for field in CONTRACT[table]]
 
 
+def data_columns(names: list[str]) -> list[str]:
+    return [name for name in names if name != POSITION]
+
+
 def time_columns(table: str) -> list[str]:
     return [field.name for field in CONTRACT[table] if field.types == TIME]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelark.contract import CONTRACT, Field
+from tradelark.contract import CONTRACT, Field, data_columns
 from tradelark.functions.numbers import mean_of_whole
 from tradelark.market import Market
 
@@ -68,11 +68,12 @@ def table_profile(market: Market) -> DataFrame:
 
     def profile(table: str, frame: DataFrame) -> DataFrame:
         # Equal rows meet once, already combined before the shuffle.
-        copies = frame.groupBy(*frame.columns).agg(F.count("*").alias("_copies"))
-        nulls = reduce(Column.__add__, [F.col(name).isNull().cast("bigint") for name in frame.columns])
+        names = data_columns(frame.columns)
+        copies = frame.groupBy(*names).agg(F.count("*").alias("_copies"))
+        nulls = reduce(Column.__add__, [F.col(name).isNull().cast("bigint") for name in names])
         return copies.agg(
             F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
-            F.lit(len(frame.columns)).alias("columns"),
+            F.lit(len(names)).alias("columns"),
             F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
             F.coalesce(F.sum(F.col("_copies") * nulls), F.lit(0)).alias("missing_values"),
         ).select(F.lit(table).alias("table"), "*")
@@ -88,7 +89,8 @@ def column_profile(market: Market, *, approx: bool = False) -> DataFrame:
     values, for tables where the exact count is not worth its cost.
     """
     summarise = _sketched_columns if approx else _counted_columns
-    return _union([summarise(table, frame) for table, frame in market.tables().items()])
+    tables = market.tables().items()
+    return _union([summarise(table, frame.select(*data_columns(frame.columns))) for table, frame in tables])
 
 
 def _inventory_row(table: str, ordinal: Column, data_type: Column, rows: Column, missing: Column, unique: Column):

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelark.contract import time_columns
+from tradelark.contract import POSITION, data_columns, time_columns
 from tradelark.functions.clock import floor_days, year_month
 from tradelark.functions.labels import COMPLETED, UNKNOWN_CATEGORY
 from tradelark.functions.order_stats import degree_ladder, scaled_quantiles
@@ -62,8 +62,7 @@ def geo_dedup_report(geolocation: DataFrame) -> DataFrame:
 
 def _distinct_geo(geolocation: DataFrame) -> DataFrame:
     """Distinct rows with their number of copies; the position in the source is not part of a row."""
-    names = [name for name in geolocation.columns if name != "source_position"]
-    return geolocation.groupBy(*names).agg(F.count("*").alias("_copies"))
+    return geolocation.groupBy(*data_columns(geolocation.columns)).agg(F.count("*").alias("_copies"))
 
 
 def geo_lookup(geolocation: DataFrame) -> DataFrame:
@@ -85,7 +84,7 @@ def geo_lookup(geolocation: DataFrame) -> DataFrame:
         return (F.max(F.when(F.col("axis") == axis, F.col("mark"))) / 2).alias(axis)
 
     def first_known(name: str) -> Column:
-        return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("source_position"))).alias(name)
+        return F.min_by(name, F.when(F.col(name).isNotNull(), F.col(POSITION))).alias(name)
 
     places = located.groupBy(zip_prefix).agg(first_known("geolocation_city"), first_known("geolocation_state"))
     centres = medians.groupBy(zip_prefix).agg(*[median_of(axis) for axis in axes])

@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelark.contract import CONTRACT, TIME, WHOLE
+from tradelark.contract import CONTRACT, POSITION, TIME, WHOLE
 from tradelark.market import Market
 
 # Spellings of a missing value in CSV text.
@@ -63,7 +63,7 @@ def _file_position() -> Column:
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
-    ).alias("source_position")
+    ).alias(POSITION)
 
 
 def read_csv_market(spark: SparkSession, paths: Mapping[str, str]) -> Market:

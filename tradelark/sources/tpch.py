@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradelark.contract import POSITION
 from tradelark.market import Market
 
 # Fixed values of the mapping.
@@ -157,7 +158,7 @@ def _geolocation(customer: DataFrame, nation: DataFrame) -> DataFrame:
         (-F.col("c_acctbal")).alias("geolocation_lng"),
         F.col("c_mktsegment").alias("geolocation_city"),
         F.col("n_name").alias("geolocation_state"),
-        F.col("c_custkey").alias("source_position"),
+        F.col("c_custkey").alias(POSITION),
     )
 
 
