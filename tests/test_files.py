@@ -11,9 +11,10 @@ import pytest
 
 from tests.helpers import by, records
 from tradelark.contract import CONTRACT
+from tradelark.operators import cleaning, headline
 from tradelark.plans import staging
 from tradelark.plans.refresh import Refresh
-from tradelark.sources import files
+from tradelark.sources import files, tables
 
 RAW = {
     "customers": "customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,customer_state\n"
@@ -119,3 +120,15 @@ def test_contract_lists_nine_tables():
 def test_command_line_explains_itself():
     done = subprocess.run([sys.executable, "-m", "tradelark", "--help"], capture_output=True, text=True, cwd=Path(__file__).parents[1])
     assert done.returncode == 0 and "--input" in done.stdout
+
+
+def test_views_answer_sql(spark, raw):
+    tables.register_views(cleaning.clean_market(files.read_csv_market(spark, raw)))
+    row = spark.sql(
+        """SELECT count(DISTINCT o.order_id) AS orders, round(sum(p.payment_value), 2) AS revenue
+        FROM orders o JOIN customers c ON o.customer_id = c.customer_id
+        LEFT JOIN payments p ON o.order_id = p.order_id WHERE o.order_status = 'delivered'"""
+    ).first()
+    assert (row.orders, row.revenue) == (30, D("918.00"))
+    again = tables.read_table_market(spark)
+    assert headline.return_behaviour(again).first().repeat_customers == 2

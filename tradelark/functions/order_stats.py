@@ -57,22 +57,24 @@ def scaled_quantiles(
     found = None
     for depth, step in enumerate(steps):
         parent = keys + steps[:depth][-1:]
-        if found is None:
-            inside = rows
-        else:
+        inside = rows
+        if found is not None:
             targets = found.groupBy(*parent).agg(F.collect_list("target").alias("targets"))
-            targets = F.broadcast(targets) if few_groups else targets
-            inside = rows.join(targets.select(*parent), parent)
+            if few_groups:
+                targets = F.broadcast(targets)
+                inside = rows.join(targets.select(*parent), parent)
+        # With many groups the rows are counted before they meet the targets, so a
+        # group or bucket with very many rows arrives at the join already combined.
         counts = inside.groupBy(*parent, step).agg(F.count("*").alias("_rows"))
 
         group = Window.partitionBy(*parent)
         upto = F.sum("_rows").over(group.orderBy(step).rowsBetween(Window.unboundedPreceding, 0))
-        placed = counts.select(*parent, step, upto.alias("_until"), (upto - F.col("_rows")).alias("_before"),
-                               F.sum("_rows").over(group).alias("_size"))
         if found is None:
-            placed = placed.withColumn("targets", _wanted(F.col("_size"), parts, slots))
+            size = F.sum("_rows").over(group)
+            placed = counts.select("*", upto.alias("_until"), _wanted(size, parts, slots).alias("targets"))
         else:
-            placed = placed.join(targets, parent)
+            placed = counts.join(targets, parent).select("*", upto.alias("_until"))
+        placed = placed.withColumn("_before", F.col("_until") - F.col("_rows"))
 
         here = F.filter(
             "targets", lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_until"))

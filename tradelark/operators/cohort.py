@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Literal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelark.functions.clock import month_start, months_apart
@@ -36,18 +36,21 @@ def cohort_activity(
 def cohort_retention(activity: DataFrame) -> DataFrame:
     """Per cohort and month index: active buyers, cohort size, retention in percent."""
     # A buyer appears once per month, so active buyers are a plain count.
-    counts = activity.groupBy("cohort_month", "cohort_index").agg(F.count(BUYER).alias("active_customers"))
-    sizes = cohort_sizes(counts)
+    counts = activity.groupBy("cohort_month", "cohort_index").agg(F.count("*").alias("active_customers"))
+    # Few rows by now, at most one per month and cohort: the size is read off the
+    # cohort's first month without a second pass over the buyers.
+    first_month = F.when(F.col("cohort_index") == 0, F.col("active_customers"))
+    size = F.max(first_month).over(Window.partitionBy("cohort_month"))
     return (
-        counts.join(sizes, "cohort_month", "left")
+        counts.withColumn("cohort_size", size)
         .withColumn("retention_rate", percent(F.col("active_customers"), F.col("cohort_size")))
         .orderBy("cohort_month", "cohort_index")
     )
 
 
-def cohort_sizes(counts: DataFrame) -> DataFrame:
-    """Buyers in the first month of each cohort, from counts per cohort and index."""
-    return counts.where(F.col("cohort_index") == 0).select(
+def cohort_sizes(retention: DataFrame) -> DataFrame:
+    """Buyers in the first month of each cohort, from a retention table."""
+    return retention.where(F.col("cohort_index") == 0).select(
         "cohort_month", F.col("active_customers").alias("cohort_size")
     )
 

@@ -77,16 +77,20 @@ def order_facts(
     unmatched: Unmatched = "keep",
     null_sums: NullSums = "zero",
 ) -> DataFrame:
-    """Orders with only the parts a report asks for: buyer columns and summaries."""
+    """Orders with only the parts a report asks for: buyer columns and summaries.
+
+    Everything keyed by order comes first and shares one partitioning; the buyer,
+    under another key, comes last.
+    """
     facts = market.orders
-    if buyer:
-        facts = facts.join(market.customers, "customer_id", join_kind(unmatched))
     if items:
         facts = facts.join(item_summary(market.order_items, null_sums), "order_id", "left")
     if payments:
         facts = facts.join(payment_summary(market.payments, null_sums), "order_id", "left")
     if reviews:
         facts = facts.join(review_summary(market.reviews), "order_id", "left")
+    if buyer:
+        facts = facts.join(market.customers, "customer_id", join_kind(unmatched))
     return facts
 
 

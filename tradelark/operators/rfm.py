@@ -35,7 +35,9 @@ def rfm_base(market: Market) -> DataFrame:
             F.count("*").alias("frequency"),
             total("payment_value").alias("monetary"),
         )
-        .withColumn("recency_days", floor_days(snapshot, F.col("last_purchase")))
+        .withColumn("_snapshot", snapshot)
+        .withColumn("recency_days", floor_days(F.col("_snapshot"), F.col("last_purchase")))
+        .drop("_snapshot")
     )
 
 

@@ -18,14 +18,18 @@ from tradelark.operators.order_lines import line_sums, line_totals, order_qualit
 PLACE = ["seller_id", "seller_city", "seller_state"]
 
 
-def _seller_order(market: Market, unmatched: Unmatched) -> DataFrame:
-    lines = with_order(line_sums(market.order_items, "seller_id"), market)
-    return completed(lines).join(market.sellers.select(*PLACE), "seller_id", join_kind(unmatched))
+def _completed_lines(market: Market) -> DataFrame:
+    """One row per completed order and seller, with the facts of the order."""
+    return completed(with_order(line_sums(market.order_items, "seller_id"), market))
+
+
+def _placed(rows: DataFrame, market: Market, unmatched: Unmatched) -> DataFrame:
+    return rows.join(market.sellers.select(*PLACE), "seller_id", join_kind(unmatched))
 
 
 def seller_order(market: Market, *, unmatched: Unmatched = "keep") -> DataFrame:
     """Per completed order and seller: units, revenue, freight, order facts, place, review."""
-    return _seller_order(market, unmatched).drop(PURCHASED, DELIVERED, PROMISED)
+    return _placed(_completed_lines(market), market, unmatched).drop(PURCHASED, DELIVERED, PROMISED)
 
 
 def seller_performance(
@@ -39,14 +43,14 @@ def seller_performance(
 
     By default a seller without city or state is left out.
     """
-    lines = _seller_order(market, unmatched)
+    # Sellers are summed up before they meet their place: the lines of a seller with
+    # a large part of all sales never gather in one join task.
+    sums = _completed_lines(market).groupBy("seller_id").agg(*line_totals(), *order_quality(days))
+    sellers = _placed(sums, market, unmatched)
     if null_places == "drop":
-        lines = lines.dropna(subset=PLACE)
-    return (
-        lines.groupBy(*PLACE)
-        .agg(*line_totals(), *order_quality(days))
-        .withColumn("revenue_per_order", spend_per_order())
-    )
+        sellers = sellers.dropna(subset=PLACE)
+    measures = [name for name in sums.columns if name != "seller_id"]
+    return sellers.select(*PLACE, *measures, spend_per_order().alias("revenue_per_order"))
 
 
 def top_sellers(market: Market, n: int = 10, **variant) -> DataFrame:
@@ -57,7 +61,7 @@ def top_sellers(market: Market, n: int = 10, **variant) -> DataFrame:
 
 def seller_revenue(market: Market) -> DataFrame:
     """Revenue of every seller with a completed order, known to the seller table or not."""
-    return completed(with_order(line_sums(market.order_items, "seller_id"), market)).groupBy("seller_id").agg(
+    return _completed_lines(market).groupBy("seller_id").agg(
         total("merchandise_revenue").alias("merchandise_revenue")
     )
 
@@ -103,7 +107,7 @@ def late_sellers(market: Market, *, min_orders: int = 100, n: int = 10, **varian
 def seller_state_summary(market: Market) -> DataFrame:
     """Per seller state: sellers, distinct orders, revenue; highest revenue first."""
     # An order can have several sellers in a state, so orders are counted distinct.
-    lines = _seller_order(market, "keep").where(F.col("seller_state").isNotNull())
+    lines = _placed(_completed_lines(market), market, "keep").where(F.col("seller_state").isNotNull())
     return (
         lines.groupBy("seller_state")
         .agg(

@@ -7,7 +7,7 @@ dates, products without category, several reviews per order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradelark.contract import POSITION
@@ -38,8 +38,13 @@ SCHEMAS = {
 }
 
 
-def _choose(column: str, mapping: dict[str, str]):
-    return F.element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), F.col(column))
+def _choose(column: str, mapping: dict[str, str]) -> Column:
+    # One CASE, so that a filter on the result turns into a filter on the column.
+    (found, meaning), *others = mapping.items()
+    chosen = F.when(F.col(column) == found, meaning)
+    for found, meaning in others:
+        chosen = chosen.when(F.col(column) == found, meaning)
+    return chosen
 
 
 def load_market(spark: SparkSession, folder: str) -> Market:
