@@ -70,45 +70,35 @@ def scaled_quantiles(
         group = Window.partitionBy(*parent)
         upto = F.sum("_rows").over(group.orderBy(step).rowsBetween(Window.unboundedPreceding, 0))
         if found is None:
-            size = F.sum("_rows").over(group)
-            placed = counts.select("*", upto.alias("_until"), _wanted(size, parts, slots).alias("targets"))
+            sized = counts.select("*", upto.alias("_until"), F.sum("_rows").over(group).alias("_size"))
+            placed = sized.withColumn("targets", _wanted(parts, slots))
         else:
             placed = counts.join(targets, parent).select("*", upto.alias("_until"))
         placed = placed.withColumn("_before", F.col("_until") - F.col("_rows"))
 
-        here = F.filter(
-            "targets", lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_until"))
-        )
-        found = placed.select(*keys, step, F.col("_before"), F.explode(here).alias("target")).select(
-            *keys,
-            step,
-            F.struct(
-                F.col("target.slot").alias("slot"),
-                (F.col("target.rank") - F.col("_before")).alias("rank"),
-                F.col("target.weight").alias("weight"),
-            ).alias("target"),
-        )
+        # The wanted ranks that lie in this bucket, counted from its first row.
+        here = """transform(
+            filter(targets, target -> target.rank >= _before AND target.rank < _until),
+            target -> struct(target.slot, target.rank - _before AS rank, target.weight))"""
+        found = placed.select(*keys, step, F.explode(F.expr(here)).alias("target"))
 
     return found.groupBy(*keys, F.col("target.slot").alias("slot")).agg(
         F.sum(F.col(steps[-1]) * F.col("target.weight")).alias("mark")
     )
 
 
-def _wanted(size: Column, parts: int, slots: Sequence[int]) -> Column:
-    """The two neighbours of each quantile position, each with its weight.
+def _wanted(parts: int, slots: Sequence[int]) -> Column:
+    """The two neighbours of each quantile position in a group of ``_size`` rows.
 
-    A neighbour of weight zero is left out, so a quantile that falls on a row
-    takes that row's value alone.
+    Each has a weight. A neighbour of weight zero is left out, so a quantile that
+    falls on a row takes that row's value alone.
     """
-
-    def neighbours(slot: int) -> list[Column]:
-        position = (size - 1) * slot
-        beyond = position % parts
-        below = ((position - beyond) / parts).cast("bigint")
-        return [
-            F.struct(F.lit(slot).alias("slot"), rank.alias("rank"), weight.alias("weight"))
-            for rank, weight in ((below, parts - beyond), (below + 1, beyond))
-        ]
-
-    every = F.array(*[side for slot in slots for side in neighbours(slot)])
-    return F.filter(every, lambda target: target["weight"] > 0)
+    every = ", ".join(f"{slot}L" for slot in slots)
+    position = "(slot * (_size - 1))"
+    return F.expr(
+        f"""filter(
+            flatten(transform(array({every}), slot -> array(
+                struct(slot, {position} div {parts} AS rank, {parts} - {position} % {parts} AS weight),
+                struct(slot, {position} div {parts} + 1 AS rank, {position} % {parts} AS weight)))),
+            target -> target.weight > 0)"""
+    )
