@@ -13,9 +13,10 @@ def test_bad_timestamps_become_null(spark):
     frame = spark.createDataFrame([(value,) for value in values], "t string")
     expected = [datetime(2018, 1, 2, 3, 4, 5), datetime(2018, 1, 2), None, None, None, None]
     assert [row.t for row in cleaning.parse_timestamps(frame, ["t"]).collect()] == expected
-    spelled = spark.createDataFrame([("02/01/2018 03:04",), ("2018-01-02",)], "t string")
+    # The second time does not exist in the session time zone.
+    spelled = spark.createDataFrame([("02/01/2018 03:04",), ("15/10/2017 00:30",), ("2018-01-02",), (None,)], "t string")
     found = cleaning.parse_timestamps(spelled, ["t"], "dd/MM/yyyy HH:mm").collect()
-    assert [row.t for row in found] == [datetime(2018, 1, 2, 3, 4), None]
+    assert [row.t for row in found] == [datetime(2018, 1, 2, 3, 4), datetime(2017, 10, 15, 0, 30), None, None]
 
 
 def test_places(spark):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # hours (rounded towards zero) divided by 24.
 DayMode = Literal["floor_days", "hours"]
 
+DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+
 
 def floor_days(later: Column, earlier: Column) -> Column:
     """Whole days from earlier to later, rounded down: -14 hours is -1."""
@@ -27,7 +29,20 @@ def whole_hours(later: Column, earlier: Column) -> Column:
 
 
 def year_month(moment: Column) -> Column:
-    return F.date_format(moment.cast("date"), "yyyy-MM")
+    """"YYYY-MM". Text of a date, not date_format, which goes through the session zone."""
+    return F.substring(moment.cast("date").cast("string"), 1, 7)
+
+
+def day_name(moment: Column) -> Column:
+    # get, not element_at: that one ignores a null index of an array without nulls.
+    return F.get(F.array(*[F.lit(day) for day in DAYS]), F.weekday(moment.cast("date")))
+
+
+def parsed_with(text: Column, pattern: str) -> Column:
+    """Text in the given pattern as a zone-less timestamp, null where it does not fit."""
+    instant = F.try_to_timestamp(F.concat(text, F.lit(" Z")), F.lit(f"{pattern} X"))
+    seconds = (F.unix_micros(instant) / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
 def month_start(moment: Column) -> Column:

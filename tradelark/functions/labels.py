@@ -35,7 +35,7 @@ def instalment_rank(instalments: Column) -> Column:
 
 
 def instalment_label(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(label) for _, label in INSTALMENT_GROUPS]), rank)
+    return F.get(F.array(*[F.lit(label) for _, label in INSTALMENT_GROUPS]), rank - 1)
 
 
 def frequency_score(orders: Column) -> Column:

@@ -35,9 +35,9 @@ def portable(frame: DataFrame, *, six_digits: tuple[str, ...] = ("average_review
             return column.cast("bigint")
         if isinstance(kind, T.DecimalType):
             return column.cast("double")
-        if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-            return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
-        if isinstance(kind, T.DateType):
+        if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+            # Not date_format: it goes through the session time zone, in which a
+            # wall-clock time may not exist.
             return column.cast("string")
         return column
 

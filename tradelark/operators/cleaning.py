@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradelark.contract import POSITION, data_columns, time_columns
-from tradelark.functions.clock import floor_days, year_month
+from tradelark.functions.clock import day_name, floor_days, parsed_with, year_month
 from tradelark.functions.labels import COMPLETED, UNKNOWN_CATEGORY
 from tradelark.functions.order_stats import degree_ladder, scaled_quantiles
 from tradelark.functions.text import strip, strip_lower, strip_upper
@@ -26,7 +26,7 @@ def parse_timestamps(frame: DataFrame, columns: Sequence[str], pattern: str | No
     def parsed(name: str) -> Column:
         if pattern is None:
             return F.col(name).try_cast("timestamp_ntz")
-        return F.try_to_timestamp(name, F.lit(pattern)).cast("timestamp_ntz")
+        return parsed_with(F.col(name), pattern)
 
     return frame.withColumns({name: parsed(name) for name in columns})
 
@@ -121,7 +121,7 @@ def order_features(orders: DataFrame) -> DataFrame:
             "purchase_year": F.year(bought),
             "purchase_month": F.month(bought),
             "purchase_year_month": year_month(bought),
-            "purchase_day_of_week": F.date_format(bought.cast("date"), "EEEE"),
+            "purchase_day_of_week": day_name(bought),
             "estimated_delivery_days": floor_days(F.col(PROMISED), bought),
             **delay_features(),
             "is_delivered": delivered_flag(),
@@ -162,7 +162,7 @@ def cleaning_summary(clean: Market) -> DataFrame:
                 *[
                     F.struct(
                         F.lit(metric).alias("metric"),
-                        F.date_format(bound, "yyyy-MM-dd HH:mm:ss").alias("value"),
+                        F.col(bound).cast("string").alias("value"),
                     )
                     for metric, bound in (("first_purchase", "low"), ("last_purchase", "high"))
                 ]

@@ -8,7 +8,7 @@ from typing import Literal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelark.functions.clock import month_start, months_apart
+from tradelark.functions.clock import month_start, months_apart, year_month
 from tradelark.functions.numbers import percent
 from tradelark.market import Market
 from tradelark.operators.cleaning import PURCHASED
@@ -67,7 +67,7 @@ def cohort_matrix(retention: DataFrame, indexes: Sequence[int]) -> DataFrame:
     The indexes are given, so no extra job has to find them; a cohort has null where
     it has no active buyer.
     """
-    labelled = retention.withColumn("cohort", F.date_format("cohort_month", "yyyy-MM"))
+    labelled = retention.withColumn("cohort", year_month(F.col("cohort_month")))
     wide = labelled.groupBy("cohort").pivot("cohort_index", list(indexes)).agg(F.max("retention_rate"))
     return wide.select("cohort", *[F.col(str(index)).alias(f"month_{index}") for index in indexes]).orderBy("cohort")
 

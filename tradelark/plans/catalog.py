@@ -49,7 +49,7 @@ STRICT_SELLERS = {"unmatched": "drop", "null_places": "keep", "days": "hours"}
 
 def _as_text(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Timestamps rendered as text, the way a raw file would hold them."""
-    return frame.withColumns({name: F.date_format(name, "yyyy-MM-dd HH:mm:ss") for name in columns})
+    return frame.withColumns({name: F.col(name).cast("string") for name in columns})
 
 
 def _parsed_orders(raw: Market) -> DataFrame:
