@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as driver
 from checks.compare import connect, difference
+from checks.oracle import ORACLE
+from tradelark.plans.catalog import catalog
 
-QUERIES = driver.queries()
-ORACLE = driver.oracle_sql()
+QUERIES = catalog()
 
 
 @pytest.fixture(scope="module")

@@ -26,7 +26,6 @@ from tradelark.operators import (
     rfm,
     seller,
 )
-from tradelark.plans.staging import staged
 from tradelark.session import apply_runtime_settings
 from tradelark.sources.tpch import load_market
 
@@ -86,11 +85,11 @@ def _places(raw: Market) -> DataFrame:
 
 
 def _segments(clean: Market) -> DataFrame:
-    return rfm.rfm_segments(rfm.rfm_scores(staged(rfm.rfm_base(clean), "rfm_base")))
+    return rfm.rfm_segments(rfm.rfm_scores(rfm.rfm_base(clean)))
 
 
 def _scores(clean: Market, score: str) -> DataFrame:
-    return rfm.rfm_scores(staged(rfm.rfm_base(clean), "rfm_base")).select(master.BUYER, score)
+    return rfm.rfm_scores(rfm.rfm_base(clean)).select(master.BUYER, score)
 
 
 def _retention(clean: Market) -> DataFrame:

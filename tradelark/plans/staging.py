@@ -2,12 +2,12 @@
 
 A table that several later steps read is written once to the shared checkpoint
 folder of the cluster and read back. Unlike a cache it survives lost executors,
-and unlike an RDD checkpoint it keeps column pruning and size statistics.
+and unlike an RDD checkpoint it keeps column pruning and size statistics. Staged
+folders are deleted when the session's JVM ends, or earlier with ``discard``.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,20 +16,35 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder; a cluster session
-    without it is an error, since no machine-local folder is visible to all tasks.
+    Where it is unset, a folder in the warehouse, which a session shares with all its
+    executors as well. Never a folder of one machine's own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="tradelark-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
-def staged(frame: DataFrame, label: str) -> DataFrame:
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def staging_path(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one, deleted when the session's JVM ends."""
+    folder = f"{checkpoint_folder(spark)}/tradelark-{uuid.uuid4().hex}-{label}"
+    files, path = _path(spark, folder)
+    files.deleteOnExit(path)
+    return folder
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a staged folder that nothing reads any more."""
+    files, path = _path(spark, folder)
+    files.delete(path, True)
+
+
+def staged(frame: DataFrame, label: str, *, compression: str = "zstd") -> DataFrame:
     """Write the frame now and return the same rows read from the written table."""
     spark = frame.sparkSession
-    path = f"{checkpoint_folder(spark)}/tradelark-{uuid.uuid4().hex}/{label}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    folder = staging_path(spark, label)
+    frame.write.option("compression", compression).parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)
