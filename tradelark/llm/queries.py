@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradelark.llm.decontaminate import contained_items
+from tradelark.llm.langid import identify_documents
+from tradelark.llm.packing import pack_documents
 from tradelark.llm.shard import shard_by_bytes
+from tradelark.llm.tokens import token_output
 from tradelark.llm.urls import judge_urls
 
 
@@ -16,6 +19,27 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def language_bitmask(spark: SparkSession, folder: str) -> DataFrame:
+    return identify_documents(_table(spark, folder, "documents"))
+
+
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pack_documents(_table(spark, folder, "documents"), tokenizer_path())
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_output(_table(spark, folder, "documents"), tokenizer_path())
+
+
 def url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(_table(spark, folder, "pages"))
 
@@ -31,6 +55,9 @@ def histogram_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_bitmask": language_bitmask,
+    "op4_best_fit_packing": best_fit_packing,
+    "op5_token_files": token_files,
     "op8_url_reputation": url_reputation,
     "op9_benchmark_containment": benchmark_containment,
     "op10_histogram_sharding": histogram_sharding,
