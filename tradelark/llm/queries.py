@@ -12,6 +12,7 @@ from tradelark.llm.langid import identify_documents
 from tradelark.llm.packing import pack_documents
 from tradelark.llm.shard import shard_by_bytes
 from tradelark.llm.tokens import token_output
+from tradelark.llm.topk import top_k
 from tradelark.llm.urls import judge_urls
 
 
@@ -29,6 +30,11 @@ def language_bitmask(spark: SparkSession, folder: str) -> DataFrame:
     return identify_documents(_table(spark, folder, "documents"))
 
 
+def impact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = pack_documents(_table(spark, folder, "documents"), tokenizer_path())
     return packed.select(
@@ -56,6 +62,7 @@ def histogram_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_bitmask": language_bitmask,
+    "op3_impact_top_k": impact_top_k,
     "op4_best_fit_packing": best_fit_packing,
     "op5_token_files": token_files,
     "op8_url_reputation": url_reputation,
@@ -64,6 +71,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_impact_top_k": """
+WITH taking_part AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS value
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) > 32768)) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    coalesce(list_sum(list_transform(range(1, len(q.value) + 1), lambda i: q.value[i] * c.value[i])), 0)::BIGINT AS score
+  FROM (SELECT DISTINCT * FROM taking_part WHERE vec_id % 50 = 0) q
+  JOIN taking_part c ON c.vec_id <> q.vec_id AND len(c.value) = len(q.value)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op8_url_reputation": """
 WITH parsed AS (
   SELECT page_id,
