@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradelark.llm.decontaminate import contained_items
+from tradelark.llm.jaccard import jaccard_components
 from tradelark.llm.langid import identify_documents
 from tradelark.llm.packing import pack_documents
 from tradelark.llm.shard import shard_by_bytes
@@ -46,6 +47,10 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_output(_table(spark, folder, "documents"), tokenizer_path())
 
 
+def token_group_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(_table(spark, folder, "documents"))
+
+
 def url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(_table(spark, folder, "pages"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_impact_top_k": impact_top_k,
     "op4_best_fit_packing": best_fit_packing,
     "op5_token_files": token_files,
+    "op6_token_group_join": token_group_join,
     "op8_url_reputation": url_reputation,
     "op9_benchmark_containment": benchmark_containment,
     "op10_histogram_sharding": histogram_sharding,
