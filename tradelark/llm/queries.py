@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradelark.llm.decontaminate import contained_items
+from tradelark.llm.dedup import passage_digest
 from tradelark.llm.jaccard import jaccard_components
 from tradelark.llm.langid import identify_documents
 from tradelark.llm.packing import pack_documents
@@ -51,6 +52,10 @@ def token_group_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"))
 
 
+def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passage_digest(_table(spark, folder, "documents"))
+
+
 def url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(_table(spark, folder, "pages"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": best_fit_packing,
     "op5_token_files": token_files,
     "op6_token_group_join": token_group_join,
+    "op7_suffix_array_dedup": suffix_array_dedup,
     "op8_url_reputation": url_reputation,
     "op9_benchmark_containment": benchmark_containment,
     "op10_histogram_sharding": histogram_sharding,
