@@ -11,6 +11,7 @@ from tradelark.llm.decontaminate import contained_items
 from tradelark.llm.dedup import passage_digest
 from tradelark.llm.jaccard import jaccard_components
 from tradelark.llm.langid import identify_documents
+from tradelark.llm.lm import score_documents
 from tradelark.llm.packing import pack_documents
 from tradelark.llm.shard import shard_by_bytes
 from tradelark.llm.tokens import token_output
@@ -32,6 +33,10 @@ def language_bitmask(spark: SparkSession, folder: str) -> DataFrame:
     return identify_documents(_table(spark, folder, "documents"))
 
 
+def hidden_markov_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(_table(spark, folder, "documents"))
+
+
 def impact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -72,6 +77,7 @@ def histogram_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_bitmask": language_bitmask,
+    "op2_hidden_markov_scores": hidden_markov_scores,
     "op3_impact_top_k": impact_top_k,
     "op4_best_fit_packing": best_fit_packing,
     "op5_token_files": token_files,
