@@ -3,16 +3,23 @@
 A table that several later steps read is written once to the shared checkpoint
 folder of the cluster and read back. Unlike a cache it survives lost executors,
 and unlike an RDD checkpoint it keeps column pruning and size statistics. Staged
-folders are deleted when the session's JVM ends, or earlier with ``discard``.
+folders are deleted when the session's JVM ends, or earlier with ``discard``. What is
+staged inside a ``workspace`` goes with it; its result is staged with ``lasting``.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Folders staged in the workspaces that are open, innermost last.
+_workspaces: list[list[str]] = []
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
@@ -33,6 +40,8 @@ def staging_path(spark: SparkSession, label: str) -> str:
     folder = f"{checkpoint_folder(spark)}/tradelark-{uuid.uuid4().hex}-{label}"
     files, path = _path(spark, folder)
     files.deleteOnExit(path)
+    if _workspaces:
+        _workspaces[-1].append(folder)
     return folder
 
 
@@ -48,3 +57,25 @@ def staged(frame: DataFrame, label: str, *, compression: str = "zstd") -> DataFr
     folder = staging_path(spark, label)
     frame.write.option("compression", compression).parquet(folder)
     return spark.read.schema(frame.schema).parquet(folder)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside at the end. Frames that read it cannot be used after."""
+    folders: list[str] = []
+    _workspaces.append(folders)
+    try:
+        yield
+    finally:
+        _workspaces[:] = [other for other in _workspaces if other is not folders]
+        for folder in folders:
+            discard(spark, folder)
+
+
+def lasting(frame: DataFrame, label: str) -> DataFrame:
+    """Stage the result of a workspace, so that it outlives it."""
+    inner = _workspaces.pop()
+    try:
+        return staged(frame, label)
+    finally:
+        _workspaces.append(inner)
