@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelark.plans.staging import staged
+from tradelark.plans.staging import lasting, staged, workspace
 
 SHINGLE = 5
 THRESHOLD_PCT = 80
@@ -65,6 +65,11 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold_pct: int = T
     texts hold nothing and are held by nothing, rows without an id take no part, rows
     that share an id count as one document (or item). Empty tables give no rows.
     """
+    with workspace(docs.sparkSession):
+        return lasting(_verified(docs, items, threshold_pct), "contained-items")
+
+
+def _verified(docs: DataFrame, items: DataFrame, threshold_pct: int) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     items = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     # Written, so that the planner knows its size and broadcasts it only below its limit.
@@ -97,5 +102,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold_pct: int = T
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
     """The rows of ``docs`` that hold no item; rows without an id or a text stay."""
-    held = contained_items(docs, items, threshold_pct=threshold_pct).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, docs["doc_id"] == F.col("_held"), "left_anti")
+    with workspace(docs.sparkSession):
+        found = contained_items(docs, items, threshold_pct=threshold_pct)
+        held = lasting(found.select(F.col("doc_id").alias("_held")).distinct(), "holding-documents")
+    return docs.join(held, docs["doc_id"] == held["_held"], "left_anti")

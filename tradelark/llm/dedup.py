@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tradelark.llm.suffixes import Shard
 from tradelark.llm.words import byte_keys, mixed, powers
-from tradelark.plans.staging import staged
+from tradelark.plans.staging import lasting, staged, workspace
 
 WINDOW, ANCHOR = 400, 32
 # Bytes of text worked on at once; the low bits of an anchor's key hold its place in them.
@@ -346,8 +346,9 @@ def passage_digest(docs: DataFrame, **options) -> DataFrame:
     ``window`` bytes that also starts anywhere else, in another row or the same; repeated
     rows of that length so lose everything. Other columns are ignored.
     """
-    base, left = repeated_passages(docs.select("doc_id", "text"), **options)
-    left = staged(left.select("t", "n_removed", "n_spans", "kept_sha256"), "passage-digest")
+    with workspace(docs.sparkSession):
+        base, left = repeated_passages(docs.select("doc_id", "text"), **options)
+        left = lasting(left.select("t", "n_removed", "n_spans", "kept_sha256"), "passage-digest")
     whole = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     rows = base.select("doc_id", "t", "n_bytes", whole.alias("whole"))
     none = F.lit(0).cast("long")
@@ -362,10 +363,13 @@ def without_passages(docs: DataFrame, **options) -> DataFrame:
 
     Bytes of a character that a passage cut in two are left out. A null text stays null.
     """
-    base, left = repeated_passages(docs, **options)
-    text = F.try_validate_utf8(F.col("kept").cast("string"))
-    repaired = F.coalesce(text, F.make_valid_utf8(F.col("kept").cast("string")))
-    left = staged(left.select("t", F.replace(repaired, F.lit("�"), F.lit("")).alias("_kept")), "passage-texts-left")
+    with workspace(docs.sparkSession):
+        others = F.struct(*(name for name in docs.columns if name != "text"), F.lit(0).alias("_")).alias("others")
+        base, left = repeated_passages(docs.select("doc_id", "text", others), **options)
+        kept = F.col("kept").cast("string")
+        # Only where a character was cut: a replacement character of the text's own stays.
+        repaired = F.when(F.is_valid_utf8(kept), kept).otherwise(F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")))
+        left = lasting(left.select("t", repaired.alias("_kept")), "passage-texts-left")
     rows = base.join(left, "t", "left")
     kept = F.when(F.col("text").isNotNull(), F.coalesce("_kept", "text")).alias("text")
-    return rows.select(*(kept if name == "text" else docs[name] for name in docs.columns))
+    return rows.select(*(kept if name == "text" else F.col("others").getField(name).alias(name) for name in docs.columns))

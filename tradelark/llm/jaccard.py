@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tradelark.llm.graph import components
 from tradelark.llm.words import mixed, shingle_sets
-from tradelark.plans.staging import staged
+from tradelark.plans.staging import lasting, staged, workspace
 
 # Shingles are counted together in so many cells to order them by frequency.
 CELL_BITS = 18
@@ -225,6 +225,11 @@ def jaccard_components(
     words has no shingles and is linked with nothing. Repeated rows are rows of one set; rows
     that share an id but not a text are separate rows. Other columns are ignored.
     """
+    with workspace(docs.sparkSession):
+        return lasting(_joined(docs, k, pct, group, part, hubs), "jaccard-components")
+
+
+def _joined(docs: DataFrame, k: int, pct: int, group: int, part: int, hubs: int) -> DataFrame:
     rows = staged(shingled(docs, k, pct), "shingled")
     nodes = rows.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min_by("rare", F.coalesce("doc_id", F.lit(0))).alias("rare")

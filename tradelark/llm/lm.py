@@ -15,7 +15,7 @@ side and the result is the exact, scaled forward recursion over the whole text.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradelark.llm.langid import remainder
-from tradelark.plans.staging import staged
+from tradelark.plans.staging import lasting, staged, workspace
 
 STATES, CLASSES, ROUNDS = 4, 4096, 4
 # Tokens of a block, of a batch worked on at once, and of a stretch.
@@ -240,8 +240,8 @@ def _training_batches(batch: pa.RecordBatch) -> Iterator[_Batch]:
             yield _Batch(row["classes"][row["tokens"][first:last][mask]], lengths[some][taken])
 
 
-def _summed(blocks: DataFrame, count) -> np.ndarray:
-    """Sum over all partitions of the array that ``count`` makes of their batches."""
+def _summed(blocks: DataFrame, count: Callable[[_Batch], np.ndarray]) -> pa.Table:
+    """at, value: sum over all partitions of the array that ``count`` makes of their batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -352,13 +352,17 @@ def score_documents(
     score of the hidden Markov model. Repeated rows are scored (and taught) each; other columns
     are ignored. Without training rows every word is as likely as no other: both scores are finite.
     """
+    with workspace(docs.sparkSession):
+        return lasting(_scored(docs, states, classes, rounds, parts, held, block), "lm-scores")
+
+
+def _scored(docs: DataFrame, states: int, classes: int, rounds: int, parts: int, held: int, block: int) -> DataFrame:
     spark = docs.sparkSession
     part = remainder(F.col("doc_id"), parts)
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(part != held, F.lit(False)).alias("training"))
     blocks = staged(_blocks(taught, classes, block), "lm-blocks")
     model = train(blocks, states=states, classes=classes, rounds=rounds)
     counts, known = _word_counts(blocks)
-    word = F.col("word")
     known = staged(known, "lm-known")
 
     # Totals per class, from each block's dictionary: a word counts as known once over all blocks.
@@ -373,7 +377,7 @@ def score_documents(
                 "words": pa.array(np.bincount(found, minlength=classes + 1)[filled].astype(np.int64)),
             })
 
-    totals = counts.where("c > 0").select(word, "c").mapInArrow(kinds, "class int, tokens long, words long")
+    totals = counts.where("c > 0").select("word", "c").mapInArrow(kinds, "class int, tokens long, words long")
     totals = totals.groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toArrow()
     in_class = np.zeros(classes + 1)
     tokens, words = totals.column("tokens").to_numpy(), totals.column("words").to_numpy()

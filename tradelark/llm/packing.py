@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradelark.llm.tokens import encoder
-from tradelark.plans.staging import staged
+from tradelark.plans.staging import lasting, staged, workspace
 
 LENGTH, END = 4096, 1
 # Tokens a task packs together.
@@ -198,6 +198,7 @@ def pack_documents(
     made = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
     closed = pieces.where("NOT reopened").select(*made)
     again = pieces.where("reopened")
-    anew = _repack(again, length, window, rounds)
+    with workspace(docs.sparkSession):
+        anew = lasting(_repack(again, length, window, rounds), "packing-moves")
     moved = again.drop("sequence_id", "offset").join(anew, ["window", "item"])
     return closed.unionByName(moved.select(*made))
