@@ -1,0 +1,60 @@
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+
+from tradelark.llm import topk
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def brute(rows, k=5, every=50):
+    ready = {}
+    for vec_id, vector, _ in rows:
+        if vec_id is not None and vector is not None and all(x is not None and math.isfinite(x) for x in vector):
+            ready.setdefault(vec_id, []).append([math.floor(256 * float(np.float32(x))) for x in vector])
+    found = []
+    for query in sorted(ready):
+        if query % every:
+            continue
+        mine = ready[query][0]
+        scores = [(-sum(a * b for a, b in zip(mine, other)), vec_id) for vec_id in ready if vec_id != query for other in ready[vec_id] if len(other) == len(mine)]
+        found += [(query, rank, vec_id, -score) for rank, (score, vec_id) in enumerate(sorted(scores)[:k], 1)]
+    return found
+
+
+@pytest.mark.parametrize("block", [64, 300, 8192])
+def test_all_best_in_blocks_of_any_size(spark, block):
+    draw = np.random.default_rng(3)
+    rows = [(at, draw.normal(0, 0.2, 24).astype(np.float32).tolist(), 0) for at in range(700)]
+    vectors = table(spark, rows)
+    found = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), block=block)
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+
+
+def test_ties_odd_rows_and_copies(spark):
+    rows = [(at, [1.0, float(at % 3)], 0) for at in range(120)] + [(200, None, 0), (201, [None, 1.0], 0), (250, [float("nan"), 1.0], 0), (None, [1.0, 1.0], 0), (202, [float("inf"), 0.0], 0), (203, [], 0), (204, [5.0], 0), (300, [7.0], 0), (119, [1.0, 2.0], 0), (-50, [-1.0, -0.5], 0)]
+    vectors = table(spark, rows).withColumnRenamed("label", "score")
+    found = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), block=32)
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+
+
+def test_fewer_candidates_than_wanted_and_empty(spark):
+    rows = [(0, [1.0], 0), (1, [2.0], 0)]
+    vectors = table(spark, rows)
+    assert sorted(map(tuple, topk.top_k(vectors, vectors.where("vec_id = 0")).collect())) == brute(rows)
+    assert topk.top_k(vectors.limit(0), vectors.limit(0)).collect() == []
+
+
+def test_proof_saves_work_and_keeps_all_members():
+    draw = np.random.default_rng(5)
+    values = draw.integers(-60, 60, (3000, 16))
+    values[7] = 90
+    index = topk.Index(values)
+    query = np.full(16, 50)
+    possible = index.candidates(query, 1)
+    assert 7 in possible and len(possible) <= topk.FEW

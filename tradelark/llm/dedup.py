@@ -5,8 +5,8 @@ smallest hash (the first of equals); neighbouring windows with the same anchor f
 Equal windows have equal anchors at equal places, so they are only ever sought among runs
 of one anchor. Runs with all bytes equal are counted as a whole. Where an anchor has runs
 that differ, one copy of each is cut out of its text and sent to the anchor's task, which
-keeps what shares a core with another run and builds suffix arrays over it: sorted by
-doubling, common prefixes of neighbours, and shards of one anchor merged by binary search.
+settles what is equal as a whole and builds suffix arrays over the rest: sorted by doubling,
+common prefixes of neighbours, and shards of one anchor merged by binary search.
 The windows of an anchor with more runs than a task should hold are counted by their own
 hash instead, spread over all tasks.
 
@@ -154,30 +154,46 @@ def _spans(t: list, start: list, end: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(t, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["t", "start", "end"])
 
 
-def _promising(runs: list[dict], window: int) -> list[tuple[int, int, int]]:
-    """(run, first, last window in it) of stretches whose core another run of the anchor has."""
-    place = []
+def _stretches(runs: list[dict], window: int) -> tuple[list[tuple], list[tuple]]:
+    """Stretches of windows (run, first, last) known to be repeated, and those to be compared.
+
+    Windows of an anchor are cut into stretches by the place of the anchor in them; all
+    windows of a stretch share a core. Only stretches with a core that another run has can
+    hold repeated windows. Where two runs have the same bytes all over, their windows are
+    repeated as a whole. What is left to compare is one of each content of a core.
+    """
+    found: dict[tuple, dict[tuple, list[tuple]]] = {}
     for at, run in enumerate(runs):
         lead = run["anchor"] - run["first"]  # the anchor's place in the first window
-        for before in range(lead // STRETCH, -1, -1):
-            # Windows with the anchor at places before * STRETCH and on share all but a stretch.
-            most = min(lead, before * STRETCH + STRETCH - 1)
-            least = max(lead - (len(run["bytes"]) - window), before * STRETCH, 0)
-            if most >= least:
-                core = lead - before * STRETCH
-                place.append((at, lead - most, lead - least, before, run["bytes"][max(core, 0) : core - STRETCH + 1 + window]))
-    seen: dict[tuple, int] = {}
-    for _, _, _, before, core in place:
-        seen[before, core] = seen.get((before, core), 0) + 1
-    return [(at, first, last) for at, first, last, before, core in place if seen[before, core] > 1]
-
-
-def _shards(runs: list[list[dict]], window: int, shard: int) -> Iterator[tuple[list, list[Shard]]]:
-    """Suffix arrays of the promising stretches; anchors share a shard until it is full."""
-    waiting: list[tuple[dict, int, int, int]] = []
-    held, pending = 0, []
-
-    def build(items: list[tuple[dict, int, int, int]]) -> tuple[list, Shard]:
+        data = run["bytes"]
+        for number in range(lead // STRETCH, -1, -1):
+            most = min(lead, number * STRETCH + STRETCH - 1)
+            least = max(lead - (len(data) - window), number * STRETCH, 0)
+            if most < least:
+                continue
+            start = lead - number * STRETCH
+            core = data[start : start - STRETCH + 1 + window]
+            content = (most, data[lead - most : lead - least + window])
+            found.setdefault((number, core), {}).setdefault(content, []).append((at, lead - most, lead - least))
+    known, compared = [], []
+    for contents in found.values():
+        for places in contents.values():
+            if len(places) > 1:
+                known += places
+            if len(contents) > 1:
+                compared.append(places[0])
+    return known, compared
+
+
+def _shards(groups: Iterator[list[tuple]], window: int, shard: int) -> Iterator[tuple[list, list[Shard]]]:
+    """Suffix arrays of the stretches to compare; anchors share a shard until it is full.
+
+    The stretches of one anchor that do not fit a shard make several, yielded together.
+    """
+    waiting: list[tuple[dict, int, int]] = []
+    held = 0
+
+    def build(items: list[tuple[dict, int, int]]) -> tuple[list, Shard]:
         data = np.frombuffer(b"".join(run["bytes"][first : last + window] for run, first, last in items), np.uint8)
         lengths = np.array([last - first + window for _, first, last in items])
         starts = np.cumsum(lengths) - lengths
@@ -186,8 +202,7 @@ def _shards(runs: list[list[dict]], window: int, shard: int) -> Iterator[tuple[l
             valid[start : start + last - first + 1] = True
         return [items, starts], Shard(data, valid, window)
 
-    for group in runs:
-        kept = [(group[at], first, last) for at, first, last in _promising(group, window)]
+    for kept in groups:
         size = sum(last - first + window for _, first, last in kept)
         if size > shard:
             parts, some, used = [], [], 0
@@ -228,13 +243,29 @@ def _by_suffixes(cut: DataFrame, window: int, shard: int) -> DataFrame:
             yield list(held.values())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for places, shards in _shards(groups(batches), window, shard):
+        settled: list[tuple[int, int, int]] = []
+
+        def open_groups() -> Iterator[list[tuple]]:
+            for runs in groups(batches):
+                known, compared = _stretches(runs, window)
+                for at, first, last in known:
+                    if runs[at]["n"] == 1:
+                        settled.append((runs[at]["t"], runs[at]["first"] + first, runs[at]["first"] + last + window))
+                if compared:
+                    yield [(runs[at], first, last) for at, first, last in compared]
+
+        for places, shards in _shards(open_groups(), window, shard):
+            if settled:
+                yield _spans(*zip(*settled))
+                settled.clear()
             for at, one in enumerate(shards):
                 for other in shards[at + 1 :]:
                     one.meet(other)
             for (items, starts), one in zip(places, shards):
                 t, start, end = [], [], []
                 windows = np.sort(one.repeated_windows())
+                if not len(windows):
+                    continue
                 breaks = np.flatnonzero(np.diff(windows, prepend=-2) != 1)
                 for first, last in zip(windows[breaks], windows[np.append(breaks[1:], len(windows)) - 1]):
                     # A stretch of repeated windows lies within one run: runs' last windows are a window long.
@@ -245,6 +276,8 @@ def _by_suffixes(cut: DataFrame, window: int, shard: int) -> DataFrame:
                         start.append(run["first"] + offset + int(first - begin))
                         end.append(run["first"] + offset + int(last - begin) + window)
                 yield _spans(t, start, end)
+        if settled:
+            yield _spans(*zip(*settled))
 
     dealt = cut.where("NOT large").repartition("key").sortWithinPartitions("key", "run")
     return dealt.mapInArrow(search, "t long, start int, end int")
@@ -324,18 +357,17 @@ def repeated_passages(
     by_text = wanted.groupBy("t").agg(F.collect_list(F.struct("key", "run", "first", "last", "anchor", "n", "large")).alias("runs"))
     single = copies.where("copies = 1").select("t")
     known = staged(known.join(single, "t", "left_semi"), "known-spans")
-    # One row of each text that takes part: no copy is read twice, and only small rows are hashed.
-    partners = staged(by_text, "wanted-runs")
-    taking_part = partners.select("t").unionByName(known.select("t")).distinct().join(copies.select("t", "one_id"), "t")
-    same_row = ["t", "one_id"]
-    texts = long_.select("t", F.coalesce("_id", F.lit("")).alias("one_id"), "text").join(
-        taking_part.withColumn("one_id", F.coalesce("one_id", F.lit(""))).hint("shuffle_hash"), same_row
-    )
-    texts = staged(texts.select("t", "text"), "passage-texts")
-    cut = staged(_cut_out(texts.join(partners.hint("shuffle_hash"), "t"), window), "cut-runs")
+    # One row of each text that takes part is read, with its wanted runs: the texts are the large
+    # side of a hashed join, dealt by text and id, so that copies are spread and dropped there.
+    one_id = F.coalesce("one_id", F.lit("")).alias("one_id")
+    taking_part = by_text.join(known.select("t").distinct(), "t", "full").join(copies.select("t", one_id), "t")
+    texts = long_.select("t", F.coalesce("_id", F.lit("")).alias("one_id"), "text")
+    texts = texts.join(taking_part.hint("shuffle_hash"), ["t", "one_id"])
+    texts = staged(texts.select("t", "text", "runs"), "passage-texts")
+    cut = staged(_cut_out(texts.where("runs IS NOT NULL"), window), "cut-runs")
     found = _by_suffixes(cut, window, shard).unionByName(_by_windows(cut, window))
     spans = known.unionByName(found).distinct().groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    losing = texts.join(single, "t", "left_semi").join(spans.hint("shuffle_hash"), "t").select("t", "text", "spans")
+    losing = texts.select("t", "text").join(single, "t", "left_semi").join(spans.hint("shuffle_hash"), "t").select("t", "text", "spans")
     return base, _kept(losing).unionByName(whole)
 
 

@@ -12,13 +12,21 @@ def _words(padded: np.ndarray, count: int) -> np.ndarray:
     return np.ndarray((count,), dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)
 
 
+def sorted_depth(depth: int) -> int:
+    """The bytes by which a suffix array of this depth is sorted: a word, doubled until it is enough."""
+    known = WORD
+    while known < depth:
+        known *= 2
+    return known
+
+
 def padded(data: np.ndarray, depth: int) -> np.ndarray:
-    """The bytes with enough zeros behind them to read ``depth`` bytes (in doublings) anywhere."""
-    return np.concatenate((data, np.zeros(4 * depth + WORD, np.uint8)))
+    """The bytes with enough zeros behind them to read the sorted depth anywhere."""
+    return np.concatenate((data, np.zeros(sorted_depth(depth) + 2 * WORD, np.uint8)))
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by at least ``depth`` bytes (zeros behind the end), by doubling.
+    """Positions sorted by ``sorted_depth(depth)`` bytes (zeros behind the end), by doubling.
 
     A suffix's rank is the first place of its group of equal prefixes. Every round sorts the
     groups that are not single by the rank of what follows the prefix, which doubles its
@@ -27,7 +35,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     n = len(data)
     words = _words(padded(data, depth), n)
     array = np.argsort(words, kind="stable")
-    rank = np.zeros(n + 4 * depth, dtype=np.int64)
+    rank = np.zeros(n + sorted_depth(depth), dtype=np.int64)
 
     def regroup(places: np.ndarray, differs: np.ndarray) -> np.ndarray:
         """Set ranks of array[places]; the places whose groups still have several members."""
@@ -42,7 +50,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     while known < depth and len(open_):
         members = array[open_]
         groups, following = rank[members], rank[members + known]
-        order = np.lexsort((following, groups))
+        order = np.argsort(groups * (n + 2) + following)
         array[open_] = members[order]
         groups, following = groups[order], following[order]
         differs = np.concatenate(([True], (groups[1:] != groups[:-1]) | (following[1:] != following[:-1])))
@@ -54,22 +62,25 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 def _agreeing(words: np.ndarray, other: np.ndarray) -> np.ndarray:
     """How many leading bytes of two eight-byte numbers are equal."""
     apart = words ^ other
-    found = np.full(len(apart), WORD, dtype=np.int64)
-    for byte in range(WORD - 1, -1, -1):
-        found[(apart >> np.uint64(8 * (WORD - 1 - byte))) & np.uint64(0xFF) != 0] = byte
-    return found
+    upper = apart >> np.uint64(32)
+    # The bit length of 32 bits is the exponent of their exact value as a double.
+    half = np.where(upper > 0, upper, apart & np.uint64(0xFFFFFFFF))
+    bits = np.frexp(half.astype(np.float64))[1]
+    return np.where(upper > 0, 0, 4) + (32 - bits) // 8
 
 
 def common_prefixes(data: np.ndarray, array: np.ndarray, depth: int, lanes: int = 4096) -> np.ndarray:
     """Bytes that each suffix of the array shares with the one before it, up to ``depth``.
 
     In text order a suffix shares at least one byte less with its predecessor than the suffix
-    one byte earlier does with its own. Lanes of the text walk through it side by side.
+    one byte earlier does with its own, as long as those two differ within the bytes by which
+    the array is sorted. Lanes of the text walk through it side by side.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    words = _words(padded(data, depth), n + 2 * depth)
+    deepest = sorted_depth(depth)
+    words = _words(padded(data, depth), n + deepest + WORD)
     before = np.empty(n, dtype=np.int64)
     before[array[0]] = -1
     before[array[1:]] = array[:-1]
@@ -83,12 +94,12 @@ def common_prefixes(data: np.ndarray, array: np.ndarray, depth: int, lanes: int
         here = here[inside]
         there = before[here]
         height = np.maximum(height[inside] - 1, 0)
-        height[there < 0] = 0
-        active = np.flatnonzero((there >= 0) & (height < depth))
+        height[(there < 0) | (height >= deepest - 1)] = 0
+        active = np.flatnonzero(there >= 0)
         while len(active):
             more = _agreeing(words[here[active] + height[active]], words[there[active] + height[active]])
             height[active] += more
-            active = active[(more == WORD) & (height[active] < depth)]
+            active = active[(more == WORD) & (height[active] < deepest)]
         first = first[inside]
         shared[here] = np.minimum(height, depth)
     return shared[array]
@@ -114,7 +125,7 @@ class Shard:
     """The sorted windows of one byte string: those that start at ``valid`` positions."""
 
     def __init__(self, data: np.ndarray, valid: np.ndarray, depth: int):
-        self.depth, self.words = depth, _words(padded(data, depth), len(data) + 2 * depth)
+        self.depth, self.words = depth, _words(padded(data, depth), len(data) + depth)
         array = suffix_array(data, depth)
         kind = np.cumsum(common_prefixes(data, array, depth) < depth)
         taken = valid[array]
