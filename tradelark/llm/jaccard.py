@@ -26,8 +26,9 @@ from tradelark.llm.graph import components
 from tradelark.llm.words import mixed, shingle_sets
 from tradelark.plans.staging import lasting, staged, workspace
 
-# Shingles are counted together in so many cells to order them by frequency.
-CELL_BITS = 18
+# Shingles are counted together in so many cells to order them by frequency, those of so many
+# documents' sets at a time that hold this many shingles.
+CELL_BITS, COUNTED = 20, 1 << 22
 # Members of a group at most, and shingles that the nodes of a part hold together.
 GROUP, PART = 64, 1 << 22
 # Texts worked on at once.
@@ -47,14 +48,29 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int = TEXTS) -> Iterator[pa
 
 
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """How many documents' shingles fall in each cell."""
+    """Per cell, how often its shingles occur in documents read together with another that has them.
+
+    Any fixed order of shingles finds all links; this one puts shingles of a single document
+    first. Counting those too would drown the ones that some dozen documents share.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, dtype=np.int64)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            tokens, often = np.unique(np.concatenate(held), return_counts=True)
+            shared = often > 1
+            cells = (tokens[shared] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+            np.add.at(total, cells, often[shared])
+            held.clear()
+
         for batch in _slices(batches):
-            sets = shingle_sets(batch.column("text").to_pylist(), k)
-            cells = (np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-            total += np.bincount(cells, minlength=len(total))
+            held += shingle_sets(batch.column("text").to_pylist(), k)
+            if sum(map(len, held)) >= COUNTED:
+                add()
+        if held:
+            add()
         cells = np.flatnonzero(total)
         yield pa.record_batch({"cell": pa.array(cells), "n": pa.array(total[cells])})
 
