@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tradelark.plans.staging import discard, staged, staging_path
 
-# Words a worker keeps; then it starts anew.
-MOST_WORDS = 1 << 20
+# Words a worker keeps; then it starts anew. Texts it has in hand at once.
+MOST_WORDS, TEXTS = 3 << 18, 256
 # Token ids a file holds, roughly.
 FILE_TOKENS = 1 << 23
 
@@ -121,6 +121,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path, split_words=_splits_at_blanks(path))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def encode_documents(docs: DataFrame, path: str, end: int | None, *, halves: bool = False) -> DataFrame:
     """doc_id and ids (binary, little-endian 32 bits) of every row of ``docs`` (doc_id, text).
 
@@ -132,13 +138,11 @@ def encode_documents(docs: DataFrame, path: str, end: int | None, *, halves: boo
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                ids = [own.encode(text) + tail for text in some.column("text").to_pylist()]
-                if halves:
-                    ids = [np.frombuffer(one, "<u2").reshape(-1, 2).T.tobytes() for one in ids]
-                yield pa.record_batch([some.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for some in _slices(batches):
+            ids = [own.encode(text) + tail for text in some.column("text").to_pylist()]
+            if halves:
+                ids = [np.frombuffer(one, "<u2").reshape(-1, 2).T.tobytes() for one in ids]
+            yield pa.record_batch([some.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids binary")
 
@@ -179,9 +183,8 @@ def unpack_numbers(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        stored = batch.column("ids").to_pylist()
-        counts = np.bincount(np.concatenate([_from_halves(one) for one in stored]) if stored else [])
+    for batch in _slices(batches):
+        counts = np.bincount(np.concatenate([_from_halves(one) for one in batch.column("ids").to_pylist()]))
         if len(counts) > len(total):
             counts, total = total, counts
         total[: len(counts)] += counts
@@ -214,7 +217,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, *, end: int, file
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, bounds = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             numbers = [rank[_from_halves(ids)] for ids in batch.column("ids").to_pylist()]
             packed = [pack_numbers(values) for values in numbers]
             doc_ids = batch.column("doc_id")
@@ -244,7 +247,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             stored = zip(*(batch.column(name).to_pylist() for name in ("control", "data", "n_tokens")))
             found = [ids[unpack_numbers(*one)].tobytes() for one in stored]
             yield pa.record_batch(
