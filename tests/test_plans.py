@@ -59,7 +59,7 @@ def test_unused_parts_are_not_joined(spark):
 
 def test_top_n_does_not_sort_everything(spark, small):
     assert "TakeOrderedAndProject" in executed(QUERIES["top_sellers"](spark, small))
-    assert "WindowGroupLimit" in executed(QUERIES["ranked_customers"](spark, small))
+    assert "TakeOrderedAndProject(limit=20" in executed(QUERIES["ranked_customers"](spark, small))
 
 
 def test_ranking_for_shares_sees_only_the_largest(spark):
@@ -84,16 +84,33 @@ def test_distinct_buyers_are_spread_by_buyer(spark):
 )
 def test_partitioning_does_not_change_a_bit(spark, small, name):
     found = []
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    for partitions in ("1", "37"):
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        frame = QUERIES[name](spark, small)
-        found.append(sorted_rows(frame.columns, frame.collect()))
-    spark.conf.set("spark.sql.shuffle.partitions", before)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(key) for key in names]
+    try:
+        for partitions in ("1", "37"):
+            for key, value in zip(names, (partitions, "false")):
+                spark.conf.set(key, value)
+            frame = QUERIES[name](spark, small)
+            assert [spark.conf.get(key) for key in names] == [partitions, "false"]
+            found.append(sorted_rows(frame.columns, frame.collect()))
+    finally:
+        for key, value in zip(names, before):
+            spark.conf.set(key, value)
     assert found[0] == found[1]
 
 
+def test_the_wanted_partitions_really_run(spark, small):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(key) for key in names]
+    try:
+        for key, value in zip(names, ("37", "false")):
+            spark.conf.set(key, value)
+        assert QUERIES["seller_order"](spark, small).rdd.getNumPartitions() == 37
+    finally:
+        for key, value in zip(names, before):
+            spark.conf.set(key, value)
+
+
 def test_a_dominant_key_changes_nothing(spark):
     """Half of all orders belong to one buyer, and one order has half of all items."""
     from decimal import Decimal

@@ -28,9 +28,13 @@ def total(money: str | Column, null_sums: NullSums = "zero") -> Column:
     """Sum of amounts; over nothing but nulls it is zero, or null when asked for.
 
     Adding 64-bit numbers is several times cheaper than adding wide decimals. They
-    hold sums up to 9e16; beyond, the query fails rather than wraps around.
+    hold sums up to 9e16; beyond, the query fails rather than wraps around, whether or
+    not the session is in ANSI mode.
     """
-    summed = (F.sum(hundredths(money)).cast("decimal(20,0)") * F.lit(CENT)).cast("decimal(20,2)")
+    whole = F.try_sum(hundredths(money))
+    lost = whole.isNull() & (F.count(money) > 0)
+    checked = F.when(lost, F.raise_error(F.lit("a sum of money is too large")).cast("bigint")).otherwise(whole)
+    summed = (checked.cast("decimal(20,0)") * F.lit(CENT)).cast("decimal(20,2)")
     return F.coalesce(summed, F.lit(0).cast("decimal(20,2)")) if null_sums == "zero" else summed
 
 

@@ -56,7 +56,8 @@ def scaled_quantiles(
 
     found = None
     for depth, step in enumerate(steps):
-        parent = keys + steps[:depth][-1:]
+        # All earlier steps: a coarse and a finer bucket of rounded numbers need not nest.
+        parent = keys + steps[:depth]
         inside = rows
         if found is not None:
             targets = found.groupBy(*parent).agg(F.collect_list("target").alias("targets"))
@@ -80,7 +81,7 @@ def scaled_quantiles(
         here = """transform(
             filter(targets, target -> target.rank >= _before AND target.rank < _until),
             target -> struct(target.slot, target.rank - _before AS rank, target.weight))"""
-        found = placed.select(*keys, step, F.explode(F.expr(here)).alias("target"))
+        found = placed.select(*parent, step, F.explode(F.expr(here)).alias("target"))
 
     return found.groupBy(*keys, F.col("target.slot").alias("slot")).agg(
         F.sum(F.col(steps[-1]) * F.col("target.weight")).alias("mark")

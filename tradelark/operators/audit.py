@@ -109,9 +109,7 @@ def _counted_columns(table: str, frame: DataFrame) -> DataFrame:
     # One (column, value) row per cell, combined before the shuffle. A COUNT
     # DISTINCT per column would send every row once per column, at full width.
     names = frame.columns
-    cells = frame.select(*[F.col(name).cast("string").alias(name) for name in names]).unpivot(
-        [], names, "column", "value"
-    )
+    cells = frame.select(*[_comparable(name, kind) for name, kind in frame.dtypes]).unpivot([], names, "column", "value")
     values = cells.groupBy("column", "value").agg(F.count("*").alias("n"))
     seen = values.groupBy("column").agg(
         F.sum("n").alias("rows"),
@@ -141,6 +139,14 @@ def _counted_columns(table: str, frame: DataFrame) -> DataFrame:
     )
 
 
+def _comparable(name: str, kind: str) -> Column:
+    """A value as text. Both signs of zero are one value, and not-a-number is missing."""
+    column = F.col(name)
+    if kind in ("double", "float"):
+        column = F.when(~F.isnan(name), column + F.lit(0.0))
+    return column.cast("string").alias(name)
+
+
 def _sketched_columns(table: str, frame: DataFrame) -> DataFrame:
     facts = frame.agg(
         F.count("*").alias("rows"),
@@ -150,8 +156,8 @@ def _sketched_columns(table: str, frame: DataFrame) -> DataFrame:
                     F.lit(at).alias("ordinal"),
                     F.lit(name).alias("column"),
                     F.lit(kind).alias("data_type"),
-                    F.count_if(F.col(name).isNull()).alias("missing"),
-                    F.approx_count_distinct(name).alias("unique"),
+                    F.count_if(_comparable(name, kind).isNull()).alias("missing"),
+                    F.approx_count_distinct(_comparable(name, kind)).alias("unique"),
                 )
                 for at, (name, kind) in enumerate(frame.dtypes, start=1)
             ]

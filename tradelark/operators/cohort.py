@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import Literal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,22 +11,18 @@ from tradelark.functions.clock import month_start, months_apart, year_month
 from tradelark.functions.numbers import percent
 from tradelark.market import Market
 from tradelark.operators.cleaning import PURCHASED
-from tradelark.operators.master import BUYER, Unmatched, completed_market, order_facts
-
-
-def cohort_activity(
-    market: Market,
-    *,
-    unmatched: Unmatched = "keep",
-    null_buyers: Literal["keep", "drop"] = "drop",
-) -> DataFrame:
-    """Per buyer and month with a purchase: the buyer's first month and the distance to it."""
-    facts = order_facts(completed_market(market), buyer=True, unmatched=unmatched)
-    if null_buyers == "drop":
-        facts = facts.where(F.col(BUYER).isNotNull())
+from tradelark.operators.master import BUYER, completed_market, with_buyer
+
+
+def cohort_activity(market: Market) -> DataFrame:
+    """Per known buyer and month with a purchase: the buyer's first month and the distance to it."""
+    orders = completed_market(market).orders
+    # The months of each customer id meet its buyer once, however many orders it has.
+    months = orders.select("customer_id", month_start(F.col(PURCHASED)).alias("month")).distinct()
+    facts = with_buyer(months, market.customers, "drop").where(F.col(BUYER).isNotNull())
     # One aggregation gives both the months and the first one. A buyer's set holds
-    # at most one entry per calendar month, however many orders the buyer has.
-    buyers = facts.groupBy(BUYER).agg(F.collect_set(month_start(F.col(PURCHASED))).alias("months"))
+    # at most one entry per calendar month.
+    buyers = facts.groupBy(BUYER).agg(F.collect_set("month").alias("months"))
     return buyers.select(
         BUYER, F.array_min("months").alias("cohort_month"), F.explode("months").alias("purchase_month")
     ).withColumn("cohort_index", months_apart(F.col("purchase_month"), F.col("cohort_month")))

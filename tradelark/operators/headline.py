@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tradelark.functions.labels import customer_type
 from tradelark.functions.numbers import NullSums, percent, ratio, total
 from tradelark.market import Market
-from tradelark.operators.cleaning import late_flag
-from tradelark.operators.master import BUYER, Unmatched, completed_market, order_facts
+from tradelark.operators.cleaning import PURCHASED, late_flag
+from tradelark.operators.master import BUYER, Unmatched, completed_market, order_facts, with_buyer
 
 # What an order without delivery or promised date means for a late rate: it is
 # left out, or it counts as on time.
@@ -32,17 +32,16 @@ def business_kpis(
     """One row: orders, buyers, revenue, order value, repeat share, late share, review mean."""
     facts = order_facts(
         completed_market(market),
-        buyer=True,
         items=True,
         payments=True,
         reviews=True,
-        unmatched=unmatched,
         null_sums=null_sums,
     )
     score = F.col("review_score").cast("decimal(18,12)")
     late = late_for_rate(late_policy)
-    # Buyers are summed up first: distinct and repeat buyers then are plain counts.
-    per_buyer = facts.groupBy(BUYER).agg(
+    # Customer ids are summed up before they meet their buyers, and buyers before the
+    # whole: distinct and repeat buyers then are plain counts.
+    per_customer = facts.groupBy("customer_id").agg(
         F.count("*").alias("orders"),
         total("merchandise_value", "null").alias("merchandise"),
         total("payment_value", "null").alias("paid"),
@@ -51,6 +50,11 @@ def business_kpis(
         F.sum(late.cast("bigint")).alias("late"),
         F.count(late).alias("dated"),
     )
+    per_buyer = with_buyer(per_customer, market.customers, unmatched).groupBy(BUYER).agg(
+        total("merchandise", "null").alias("merchandise"),
+        total("paid", "null").alias("paid"),
+        *[F.sum(name).alias(name) for name in ("orders", "score_sum", "scored", "late", "dated")],
+    )
     known = F.col(BUYER).isNotNull()
     sums = per_buyer.agg(
         F.coalesce(F.sum("orders"), F.lit(0)).alias("delivered_orders"),
@@ -83,14 +87,14 @@ def buyer_orders(
     null_sums: NullSums = "zero",
 ) -> DataFrame:
     """Per buyer: completed orders, and with ``spend`` total spend and last purchase."""
-    facts = order_facts(completed_market(market), buyer=True, payments=spend, unmatched=unmatched, null_sums=null_sums)
+    facts = order_facts(completed_market(market), payments=spend, null_sums=null_sums)
+    spent = [total("payment_value", null_sums).alias("total_spend"), F.max(PURCHASED).alias("last_purchase")]
+    per_customer = facts.groupBy("customer_id").agg(F.count("*").alias("orders"), *(spent if spend else []))
+    bought = with_buyer(per_customer, market.customers, unmatched)
     if null_buyers == "drop":
-        facts = facts.where(F.col(BUYER).isNotNull())
-    extra = [
-        total("payment_value", null_sums).alias("total_spend"),
-        F.max("order_purchase_timestamp").alias("last_purchase"),
-    ]
-    return facts.groupBy(BUYER).agg(F.count("*").alias("orders"), *(extra if spend else []))
+        bought = bought.where(F.col(BUYER).isNotNull())
+    extra = [total("total_spend", null_sums).alias("total_spend"), F.max("last_purchase").alias("last_purchase")]
+    return bought.groupBy(BUYER).agg(F.sum("orders").alias("orders"), *(extra if spend else []))
 
 
 def repeat_rate(market: Market) -> DataFrame:
@@ -142,12 +146,11 @@ def customer_type_summary(
 def ranked_customers(market: Market, top: int = 20) -> DataFrame:
     """Buyers whose spend is among the ``top`` highest amounts; equal amounts share a rank."""
     buyers = buyer_orders(market, spend=True, unmatched="drop", null_buyers="keep", null_sums="null")
-    # The filter on the rank is pushed below the exchange: each task sends only
-    # rows that are among its own highest amounts.
-    rank = F.dense_rank().over(Window.orderBy(F.desc_nulls_last("total_spend")))
-    return (
-        buyers.withColumn("spend_rank", rank)
-        .where(F.col("spend_rank") <= top)
-        .select("spend_rank", BUYER, "orders", "total_spend", "last_purchase")
-        .orderBy("spend_rank", BUYER)
+    # Only the highest amounts are ranked, each once; buyers then look their amount up, so
+    # any number of buyers with equal spend stays spread over the tasks.
+    highest = buyers.select("total_spend").distinct().orderBy(F.desc_nulls_last("total_spend")).limit(top)
+    amounts = highest.withColumn("spend_rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("total_spend"))))
+    ranked = buyers.join(
+        F.broadcast(amounts.withColumnRenamed("total_spend", "_amount")), F.col("total_spend").eqNullSafe(F.col("_amount"))
     )
+    return ranked.select("spend_rank", BUYER, "orders", "total_spend", "last_purchase").orderBy("spend_rank", BUYER)

@@ -94,6 +94,11 @@ def order_facts(
     return facts
 
 
+def with_buyer(sums: DataFrame, customers: DataFrame, unmatched: Unmatched) -> DataFrame:
+    """Rows per customer id with their buyer: one row per id joins, not one per order."""
+    return sums.join(customers.select("customer_id", BUYER), "customer_id", join_kind(unmatched))
+
+
 def completed(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("order_status") == COMPLETED)
 

@@ -1,11 +1,13 @@
 """Recency, frequency and monetary value of buyers.
 
 ``rfm_base`` is the costly part. The scores read it several times, so give them a
-base that has been written (``tradelark.plans.staging.staged``) when it is large.
+base that has been written (``tradelark.plans.staging.staged``) when it is large. Only
+the edges of the measures that are asked for are computed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +19,7 @@ from tradelark.functions.numbers import hundredths, mean_of_whole, percent, rati
 from tradelark.functions.order_stats import scaled_quantiles, whole_number_ladder
 from tradelark.market import Market
 from tradelark.operators.cleaning import PURCHASED
-from tradelark.operators.master import BUYER, completed_market, order_facts
+from tradelark.operators.master import BUYER, completed_market, order_facts, with_buyer
 
 QUINTILES = 5
 RepeatedEdges = Literal["raise", "collapse"]
@@ -26,14 +28,19 @@ RepeatedEdges = Literal["raise", "collapse"]
 def rfm_base(market: Market) -> DataFrame:
     """Per buyer: last purchase, orders, spend, days before the day after the last sale."""
     done = completed_market(market)
-    facts = order_facts(done, buyer=True, payments=True).where(F.col(BUYER).isNotNull())
+    per_customer = order_facts(done, payments=True).groupBy("customer_id").agg(
+        F.max(PURCHASED).alias("last_purchase"),
+        F.count("*").alias("frequency"),
+        total("payment_value").alias("monetary"),
+    )
+    bought = with_buyer(per_customer, market.customers, "drop").where(F.col(BUYER).isNotNull())
     snapshot = done.orders.agg((F.max(PURCHASED) + F.make_dt_interval(F.lit(1))).alias("snapshot")).scalar()
     return (
-        facts.groupBy(BUYER)
+        bought.groupBy(BUYER)
         .agg(
-            F.max(PURCHASED).alias("last_purchase"),
-            F.count("*").alias("frequency"),
-            total("payment_value").alias("monetary"),
+            F.max("last_purchase").alias("last_purchase"),
+            F.sum("frequency").alias("frequency"),
+            total("monetary").alias("monetary"),
         )
         .withColumn("_snapshot", snapshot)
         .withColumn("recency_days", floor_days(F.col("_snapshot"), F.col("last_purchase")))
@@ -49,14 +56,16 @@ def _measures() -> dict[str, Column]:
     }
 
 
-def quintile_edges(base: DataFrame, *, repeated: RepeatedEdges = "raise") -> DataFrame:
+def quintile_edges(
+    base: DataFrame, *, repeated: RepeatedEdges = "raise", measures: Sequence[str] = ("recency", "monetary")
+) -> DataFrame:
     """Per measure the six edges of its quintiles (times five), as an array.
 
     Edges are exact and linearly interpolated. Heavily tied data can make edges
     coincide; that is an error unless asked for, since some bins would be empty.
     """
-    names = list(_measures())
-    values = base.select(*[column.alias(name) for name, column in _measures().items()])
+    names = list(measures)
+    values = base.select(*[_measures()[name].alias(name) for name in names])
     marks = scaled_quantiles(
         values.unpivot([], names, "measure", "value"),
         ["measure"],
@@ -83,19 +92,23 @@ def _quintile(value: Column, edges: Column) -> Column:
     return sum(above[1:], above[0]) + 1
 
 
-def rfm_scores(base: DataFrame, *, repeated: RepeatedEdges = "raise") -> DataFrame:
-    """Add the three scores: newest, most frequent and highest spend score 5."""
-    edges = quintile_edges(base, repeated=repeated)
+def with_quintile_scores(
+    base: DataFrame, *, repeated: RepeatedEdges = "raise", measures: Sequence[str] = ("recency", "monetary")
+) -> DataFrame:
+    """Add recency_score, monetary_score or both: newest and highest spend score 5."""
+    edges = quintile_edges(base, repeated=repeated, measures=measures)
     # One row with all edges; Spark runs it once and hands the value to every task.
     lookup = edges.agg(F.map_from_entries(F.collect_list(F.struct("measure", "edges")))).scalar()
-    measures = _measures()
-    scored = base.withColumn("_edges", lookup).withColumns(
-        {
-            "recency_score": QUINTILES + 1 - _quintile(measures["recency"], F.col("_edges")["recency"]),
-            "monetary_score": _quintile(measures["monetary"], F.col("_edges")["monetary"]),
-        }
-    )
-    return with_frequency_score(scored.drop("_edges"))
+    quintile = {name: _quintile(_measures()[name], F.col("_edges")[name]) for name in measures}
+    if "recency" in quintile:
+        quintile["recency"] = QUINTILES + 1 - quintile["recency"]
+    scored = base.withColumn("_edges", lookup).withColumns({f"{name}_score": score for name, score in quintile.items()})
+    return scored.drop("_edges")
+
+
+def rfm_scores(base: DataFrame, *, repeated: RepeatedEdges = "raise") -> DataFrame:
+    """Add the three scores: newest, most frequent and highest spend score 5."""
+    return with_frequency_score(with_quintile_scores(base, repeated=repeated))
 
 
 def with_frequency_score(base: DataFrame) -> DataFrame:

@@ -31,12 +31,12 @@ from tradelark.sources.tpch import load_market
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Fixture values: smallest groups in reports over the sf0.01 tables.
 CATEGORY_MIN_ORDERS = 2_300
 SELLER_MIN_ORDERS = 190
 STATE_MIN_ORDERS = 150
 PERIOD = ("1996-01-01", "1998-01-01")
 FIRST_COHORT = "1995-01-01"
-PURCHASES = ("1995-01", "2001-08")
 
 # SQL flavours of a report: rows without dimension row drop, null groups stay, and
 # a sum over nothing but nulls stays null.
@@ -88,8 +88,9 @@ def _segments(clean: Market) -> DataFrame:
     return rfm.rfm_segments(rfm.rfm_scores(rfm.rfm_base(clean)))
 
 
-def _scores(clean: Market, score: str) -> DataFrame:
-    return rfm.rfm_scores(rfm.rfm_base(clean)).select(master.BUYER, score)
+def _scores(clean: Market, measure: str) -> DataFrame:
+    scored = rfm.with_quintile_scores(rfm.rfm_base(clean), measures=[measure])
+    return scored.select(master.BUYER, f"{measure}_score")
 
 
 def _retention(clean: Market) -> DataFrame:
@@ -97,8 +98,12 @@ def _retention(clean: Market) -> DataFrame:
 
 
 def _strict_retention(clean: Market) -> DataFrame:
-    activity = cohort.cohort_activity(clean, unmatched="drop", null_buyers="keep")
-    return cohort.retention_window(cohort.cohort_retention(activity), first_cohort=FIRST_COHORT)
+    return cohort.retention_window(_retention(clean), first_cohort=FIRST_COHORT)
+
+
+def _matrix(clean: Market) -> DataFrame:
+    retention = _retention(clean)
+    return cohort.cohort_matrix(retention, cohort.indexes_present(retention))
 
 
 # Operators on the tables as they come in.
@@ -174,7 +179,7 @@ CLEAN: dict[str, Callable[[Market], DataFrame]] = {
     "cohort_retention": _retention,
     "cohort_retention_sql": _strict_retention,
     "cohort_sizes": lambda m: cohort.cohort_sizes(_retention(m)),
-    "cohort_matrix": lambda m: cohort.cohort_matrix(_retention(m), cohort.indexes_between(*PURCHASES)),
+    "cohort_matrix": _matrix,
     "cohort_matrix_head": lambda m: cohort.cohort_matrix_head(_retention(m)),
     "return_behaviour": headline.return_behaviour,
     "purchase_frequency": headline.purchase_frequency,
@@ -184,8 +189,8 @@ CLEAN: dict[str, Callable[[Market], DataFrame]] = {
     "installment_groups": payment.installment_groups,
     "installment_distribution": payment.installment_distribution,
     "rfm_base": rfm.rfm_base,
-    "rfm_recency_score": lambda m: _scores(m, "recency_score"),
-    "rfm_monetary_score": lambda m: _scores(m, "monetary_score"),
+    "rfm_recency_score": lambda m: _scores(m, "recency"),
+    "rfm_monetary_score": lambda m: _scores(m, "monetary"),
     "rfm_frequency_score": lambda m: rfm.with_frequency_score(rfm.rfm_base(m)).select(
         master.BUYER, "frequency_score"
     ),

@@ -68,7 +68,8 @@ class Refresh:
         orders = self._stored("master", "order_analysis", master.order_master(clean))
         self._report("master_validation", master.master_validation(clean.orders, orders))
         base = self._stored("master", "rfm_base", rfm.rfm_base(clean))
-        segments = self._stored("reports", "customer_rfm", rfm.rfm_segments(rfm.rfm_scores(base)))
+        segments = self._stored("master", "customer_rfm", rfm.rfm_segments(rfm.rfm_scores(base)))
+        self._report("customer_rfm", segments)
         retention = self._stored("master", "cohort_retention", cohort.cohort_retention(cohort.cohort_activity(clean)))
         for name, make in market_reports():
             self._report(name, make(clean))

@@ -29,9 +29,11 @@ START_SETTINGS = {
 
 
 def apply_runtime_settings(spark: SparkSession) -> SparkSession:
-    """Put the settings above on a session that somebody else created."""
+    """Put the settings above on a session that somebody else created, but for those it chose itself."""
+    chosen = spark.conf.getAll
     for key, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(key, value)
+        if key not in chosen:
+            spark.conf.set(key, value)
     return spark
 
 

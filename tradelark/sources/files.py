@@ -41,20 +41,52 @@ def read_csv_table(spark: SparkSession, table: str, path: str, *, multiline: boo
     Types come from the contract, never from a look at the data, so codes such as
     zip prefixes keep their leading zeros. Columns outside the contract stay text.
     """
+    known, fields = _raw(spark, table, path, multiline)
+    return known.select(
+        *[_typed(name, fields[name]) if name in fields else F.col(name) for name in known.columns]
+    )
+
+
+def _raw(
+    spark: SparkSession, table: str, path: str, multiline: bool | None
+) -> tuple[DataFrame, dict[str, tuple[str, ...]]]:
+    """The table as text with missing spellings as nulls, and the types of its contract columns.
+
+    Files of a folder must agree on their header: a file with another order of columns is an
+    error when it is read, never a mix-up of values.
+    """
     multiline = table in MULTILINE_TABLES if multiline is None else multiline
     raw = spark.read.csv(path, header=True, multiLine=multiline, quote='"', escape='"')
     fields = {field.name: field.types for field in CONTRACT[table]}
     absent = [name for name in fields if name not in raw.columns]
     if absent:
         raise ValueError(f"{table}: columns missing from {path}: {absent}")
-
-    known = raw.select(
+    # A stated schema makes Spark compare it with the header of every file it reads.
+    checked = spark.read.schema(raw.schema).csv(path, header=True, multiLine=multiline, quote='"', escape='"', enforceSchema=False)
+    known = checked.select(
         *[F.when(~F.col(name).isin(*MISSING_SPELLINGS), F.col(name)).alias(name) for name in raw.columns],
         *([_file_position()] if table == "geolocation" else []),
     )
-    return known.select(
-        *[_typed(name, fields[name]) if name in fields else F.col(name) for name in known.columns]
-    )
+    return known, fields
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(files.globStatus(found))
+
+
+def rejected_values(spark: SparkSession, table: str, path: str, *, multiline: bool | None = None) -> DataFrame:
+    """column, rejected: values per typed column that are neither missing nor of its type.
+
+    Reading turns them into nulls; this is where they show. One row per typed column.
+    """
+    raw, kinds = _raw(spark, table, path, multiline)
+    checked = [name for name in kinds if kinds[name] != TIME and "string" not in kinds[name]]
+    rejected = [F.count_if(F.col(name).isNotNull() & _typed(name, kinds[name]).isNull()).alias(name) for name in checked]
+    if not checked:
+        return spark.createDataFrame([], "column string, rejected bigint")
+    return raw.agg(*rejected).unpivot([], checked, "column", "rejected")
 
 
 def _file_position() -> Column:
@@ -69,9 +101,9 @@ def _file_position() -> Column:
 def read_csv_market(spark: SparkSession, paths: Mapping[str, str]) -> Market:
     """The tables from CSV files, given as table name -> path.
 
-    Raises one error that names every table without a path.
+    Raises one error that names every table without a path, or whose path holds no file.
     """
-    absent = [table for table in CONTRACT if table not in paths]
+    absent = [table for table in CONTRACT if table not in paths or not _exists(spark, paths[table])]
     if absent:
         raise ValueError(f"no input given for: {absent}")
     return Market(**{table: partial(read_csv_table, spark, table, paths[table]) for table in CONTRACT})
