@@ -40,6 +40,8 @@ def test_a_late_month_keeps_its_cell(spark):
     retention = cohort.cohort_retention(cohort.cohort_activity(tables))
     matrix = by(cohort.cohort_matrix(retention, cohort.indexes_present(retention)), "cohort")
     assert matrix["2018-01"]["month_96"] == 100.0 and matrix["2018-02"]["month_96"] is None
+    assert cohort.indexes_possible(tables.orders) == range(97)
+    assert cohort.indexes_possible(tables.orders.limit(0)) == range(0)
 
 
 def test_unknown_buyers_are_in_no_cohort(spark):

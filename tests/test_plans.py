@@ -105,7 +105,7 @@ def test_the_wanted_partitions_really_run(spark, small):
     try:
         for key, value in zip(names, ("37", "false")):
             spark.conf.set(key, value)
-        assert QUERIES["seller_order"](spark, small).rdd.getNumPartitions() == 37
+        assert QUERIES["customer_order_counts"](spark, small).rdd.getNumPartitions() == 37
     finally:
         for key, value in zip(names, before):
             spark.conf.set(key, value)

@@ -77,6 +77,12 @@ def indexes_between(first: str, last: str) -> range:
     return range((y2 - y1) * 12 + m2 - m1 + 1)
 
 
+def indexes_possible(orders: DataFrame) -> range:
+    """Every month index that the purchases of ``orders`` allow. Runs a job that returns one row."""
+    first, last = orders.agg(*[year_month(pick(PURCHASED)) for pick in (F.min, F.max)]).first()
+    return indexes_between(first, last) if first else range(0)
+
+
 def indexes_present(retention: DataFrame) -> list[int]:
     """The month indexes that occur, read from a finished retention table.
 

@@ -102,8 +102,7 @@ def _strict_retention(clean: Market) -> DataFrame:
 
 
 def _matrix(clean: Market) -> DataFrame:
-    retention = _retention(clean)
-    return cohort.cohort_matrix(retention, cohort.indexes_present(retention))
+    return cohort.cohort_matrix(_retention(clean), cohort.indexes_possible(clean.orders))
 
 
 # Operators on the tables as they come in.
