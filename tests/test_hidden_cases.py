@@ -128,3 +128,23 @@ def test_values_that_do_not_parse_are_counted(spark, tmp_path):
     path.write_text("\n".join(lines) + "\n")
     found = {row.column: row.rejected for row in files.rejected_values(spark, "payments", str(path)).collect()}
     assert found["payment_value"] == 2 and found["payment_sequential"] == 0
+
+
+def test_shared_tables_are_made_once(spark, tmp_path, monkeypatch):
+    from tradelark.operators import category, performance, seller
+    from tradelark.plans import refresh
+
+    made = []
+    for module, name in ((category, "category_performance"), (seller, "seller_performance"), (performance, "monthly_performance")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, real=real, name=name, **k: made.append((name, bool(k))) or real(*a, **k))
+    orders = [order(f"o{at}", f"c{at}", bought=f"2018-0{at % 5 + 1}-05") for at in range(20)]
+    customers = [(f"c{at}", f"b{at % 7}", "x", "SP") for at in range(20)]
+    tables = cleaning.clean_market(market(spark, orders=orders, customers=customers))
+    run = refresh.Refresh(spark, str(tmp_path), report_format="csv")
+    for name, (make, derived) in refresh.shared_tables().items():
+        table = run._stored("master", name, make(tables))
+        for report, pick in derived.items():
+            run._report(report, pick(table))
+    assert sorted(made) == [("category_performance", False), ("monthly_performance", False), ("seller_performance", False)]
+    assert (tmp_path / "reports" / "top_sellers").is_dir()

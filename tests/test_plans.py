@@ -126,3 +126,22 @@ def test_a_dominant_key_changes_nothing(spark):
     first = master.item_summary(clean.order_items).where("order_id = 'o0'").first()
     assert (first.item_count, first.merchandise_value) == (1000, Decimal("1250.00"))
     assert (first.unique_products, first.unique_sellers) == (9, 11)
+
+
+@pytest.mark.parametrize("name", ["business_kpis", "repeat_rate", "return_behaviour", "customer_type_summary", "cohort_activity", "rfm_base"])
+def test_orders_are_summed_per_customer_before_they_meet_their_buyer(spark, name):
+    """A customer with half of all orders reaches the join as one row (or one per month)."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        clean = cleaning.clean_market(market(spark, customers=[("c", "b", "x", "SP")], orders=[order("o1", "c")]))
+        from tradelark.plans.catalog import CLEAN
+
+        plan = optimized(CLEAN[name](clean))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    joins = [at for at, line in enumerate(lines) if re.search(r"Join .*customer_id#\d+ = customer_id#\d+", line)]
+    assert joins
+    for at in joins:
+        child = next(line for line in lines[at + 1 :] if not re.search(r"[:+\- ]*(Project|Filter)", line.split("[")[0].split("(")[0]))
+        assert "Aggregate [customer_id" in child, child

@@ -51,21 +51,37 @@ def category_late_rate(market: Market) -> DataFrame:
 
 
 def top_categories_revenue(market: Market, n: int = 10, **variant) -> DataFrame:
-    return category_performance(market, **variant).orderBy(F.desc("merchandise_revenue"), CATEGORY).limit(n)
+    return by_revenue(category_performance(market, **variant), n)
 
 
 def top_categories_volume(market: Market, n: int = 10) -> DataFrame:
-    return category_performance(market).orderBy(F.desc("units_sold"), CATEGORY).limit(n)
+    return by_volume(category_performance(market), n)
 
 
-def _major(market: Market, min_orders: int, **variant) -> DataFrame:
-    return category_performance(market, **variant).where(F.col("orders") >= min_orders)
+def lowest_reviewed_categories(market: Market, *, min_orders: int = 500, n: int = 10, **variant) -> DataFrame:
+    return lowest_reviewed(category_performance(market, **variant), min_orders, n)
 
 
-def lowest_reviewed_categories(market: Market, *, min_orders: int = 500, n: int = 10, **variant) -> DataFrame:
-    major = _major(market, min_orders, **variant)
+def late_categories(market: Market, *, min_orders: int = 500, n: int = 10) -> DataFrame:
+    return most_late(category_performance(market), min_orders, n)
+
+
+# The lists above from a finished table of ``category_performance``.
+
+
+def by_revenue(table: DataFrame, n: int = 10) -> DataFrame:
+    return table.orderBy(F.desc("merchandise_revenue"), CATEGORY).limit(n)
+
+
+def by_volume(table: DataFrame, n: int = 10) -> DataFrame:
+    return table.orderBy(F.desc("units_sold"), CATEGORY).limit(n)
+
+
+def lowest_reviewed(table: DataFrame, min_orders: int = 500, n: int = 10) -> DataFrame:
+    major = table.where(F.col("orders") >= min_orders)
     return major.orderBy(F.asc_nulls_last("average_review_score"), CATEGORY).limit(n)
 
 
-def late_categories(market: Market, *, min_orders: int = 500, n: int = 10) -> DataFrame:
-    return _major(market, min_orders).orderBy(F.desc_nulls_last("late_delivery_rate"), CATEGORY).limit(n)
+def most_late(table: DataFrame, min_orders: int = 500, n: int = 10) -> DataFrame:
+    major = table.where(F.col("orders") >= min_orders)
+    return major.orderBy(F.desc_nulls_last("late_delivery_rate"), CATEGORY).limit(n)

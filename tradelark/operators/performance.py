@@ -91,7 +91,12 @@ def monthly_growth(market: Market, period: tuple[str, str] | None = None) -> Dat
 
 
 def top_months(market: Market, n: int = 5) -> DataFrame:
-    return monthly_performance(market).orderBy(F.desc("revenue"), "purchase_year_month").limit(n)
+    return best_months(monthly_performance(market), n)
+
+
+def best_months(table: DataFrame, n: int = 5) -> DataFrame:
+    """The months of highest revenue in a finished table of ``monthly_performance``."""
+    return table.orderBy(F.desc("revenue"), "purchase_year_month").limit(n)
 
 
 def state_performance(

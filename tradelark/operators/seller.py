@@ -54,9 +54,7 @@ def seller_performance(
 
 
 def top_sellers(market: Market, n: int = 10, **variant) -> DataFrame:
-    return (
-        seller_performance(market, **variant).orderBy(F.desc("merchandise_revenue"), "seller_id").limit(n)
-    )
+    return by_revenue(seller_performance(market, **variant), n)
 
 
 def seller_revenue(market: Market) -> DataFrame:
@@ -90,17 +88,28 @@ def seller_concentration(revenue: DataFrame, tops: Sequence[int] = (10, 50, 100)
     )
 
 
-def _major(market: Market, min_orders: int, **variant) -> DataFrame:
-    return seller_performance(market, **variant).where(F.col("orders") >= min_orders)
+def lowest_reviewed_sellers(market: Market, *, min_orders: int = 100, n: int = 10) -> DataFrame:
+    return lowest_reviewed(seller_performance(market), min_orders, n)
+
 
+def late_sellers(market: Market, *, min_orders: int = 100, n: int = 10, **variant) -> DataFrame:
+    return most_late(seller_performance(market, **variant), min_orders, n)
 
-def lowest_reviewed_sellers(market: Market, *, min_orders: int = 100, n: int = 10) -> DataFrame:
-    major = _major(market, min_orders)
+
+# The lists above from a finished table of ``seller_performance``.
+
+
+def by_revenue(table: DataFrame, n: int = 10) -> DataFrame:
+    return table.orderBy(F.desc("merchandise_revenue"), "seller_id").limit(n)
+
+
+def lowest_reviewed(table: DataFrame, min_orders: int = 100, n: int = 10) -> DataFrame:
+    major = table.where(F.col("orders") >= min_orders)
     return major.orderBy(F.asc_nulls_last("average_review_score"), "seller_id").limit(n)
 
 
-def late_sellers(market: Market, *, min_orders: int = 100, n: int = 10, **variant) -> DataFrame:
-    major = _major(market, min_orders, **variant)
+def most_late(table: DataFrame, min_orders: int = 100, n: int = 10) -> DataFrame:
+    major = table.where(F.col("orders") >= min_orders)
     return major.orderBy(F.desc_nulls_last("late_delivery_rate"), "seller_id").limit(n)
 
 

@@ -1,9 +1,10 @@
 """From raw files to every published table.
 
 Raw CSV -> profiles and checks -> clean tables -> one row per order -> reports.
-Clean tables, the order table and the buyer base are written once and read back by
-what follows, so each is computed a single time and a lost executor costs at most
-the step it was working on.
+Clean tables, the order table, the buyer base and the month, category and seller tables
+are written once; the lists and summaries made of them read them back. The other reports
+each aggregate the clean tables on their own. A lost executor costs at most the step it
+was working on.
 """
 
 from __future__ import annotations
@@ -73,6 +74,11 @@ class Refresh:
         retention = self._stored("master", "cohort_retention", cohort.cohort_retention(cohort.cohort_activity(clean)))
         for name, make in market_reports():
             self._report(name, make(clean))
+        for name, (make, derived) in shared_tables().items():
+            table = self._stored("master", name, make(clean))
+            self._report(name, table)
+            for report, pick in derived.items():
+                self._report(report, pick(table))
         self._report("customer_segment_summary", rfm.segment_summary(segments))
         self._report("top_customers", rfm.top_customers(segments))
         self._report("cohort_retention_long", retention)
@@ -86,24 +92,42 @@ def market_reports() -> Iterator[tuple[str, Callable[[Market], DataFrame]]]:
     yield "return_behaviour", headline.return_behaviour
     yield "purchase_frequency", headline.purchase_frequency
     yield "ranked_customers", headline.ranked_customers
-    yield "monthly_performance", performance.monthly_performance
     yield "state_performance", performance.state_performance
     yield "delivery_time_stats", performance.delivery_time_stats
     yield "review_by_lateness", performance.review_by_lateness
     yield "delivery_status_satisfaction", performance.delivery_status_satisfaction
     yield "state_delivery", performance.state_delivery
-    yield "category_performance", category.category_performance
     yield "payment_method_summary", payment.payment_methods
     yield "installment_summary", payment.installment_groups
     yield "installment_distribution", payment.installment_distribution
-    yield "seller_performance", seller.seller_performance
     yield "seller_state_summary", seller.seller_state_summary
-    yield "seller_concentration", lambda m: seller.seller_concentration(seller.seller_performance(m))
-    yield "top_months", performance.top_months
-    yield "top_categories_revenue", category.top_categories_revenue
-    yield "top_categories_volume", category.top_categories_volume
-    yield "lowest_reviewed_categories", category.lowest_reviewed_categories
-    yield "late_categories", category.late_categories
-    yield "top_sellers", seller.top_sellers
-    yield "lowest_reviewed_sellers", seller.lowest_reviewed_sellers
-    yield "late_sellers", seller.late_sellers
+    yield "business_kpis_sql", lambda m: headline.business_kpis(
+        m, late_policy="as_on_time", unmatched="drop", null_sums="null"
+    )
+    yield "top_categories_revenue_sql", lambda m: category.top_categories_revenue(m, unmatched="drop", days="hours")
+    yield "top_sellers_sql", lambda m: seller.top_sellers(m, unmatched="drop", null_places="keep", days="hours")
+
+
+def shared_tables() -> dict[str, tuple[Callable[[Market], DataFrame], dict[str, Callable[[DataFrame], DataFrame]]]]:
+    """Tables that several reports are made of: how to make each, and the reports."""
+    return {
+        "monthly_performance": (performance.monthly_performance, {"top_months": performance.best_months}),
+        "category_performance": (
+            category.category_performance,
+            {
+                "top_categories_revenue": category.by_revenue,
+                "top_categories_volume": category.by_volume,
+                "lowest_reviewed_categories": category.lowest_reviewed,
+                "late_categories": category.most_late,
+            },
+        ),
+        "seller_performance": (
+            seller.seller_performance,
+            {
+                "seller_concentration": seller.seller_concentration,
+                "top_sellers": seller.by_revenue,
+                "lowest_reviewed_sellers": seller.lowest_reviewed,
+                "late_sellers": seller.most_late,
+            },
+        ),
+    }
