@@ -31,7 +31,7 @@ WINDOW, ANCHOR = 400, 32
 # Bytes of text worked on at once; the low bits of an anchor's key hold its place in them.
 PIECE_BITS = 20
 # Bytes of a suffix array, and runs of one anchor that a task takes on.
-SHARD, MOST_RUNS = 4 << 20, 8192
+SHARD, MOST_RUNS = 2 << 20, 8192
 # Windows of a run are compared with others in stretches of this many.
 STRETCH = 64
 
