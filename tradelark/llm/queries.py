@@ -102,6 +102,29 @@ scored AS (
   JOIN taking_part c ON c.vec_id <> q.vec_id AND len(c.value) = len(q.value)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op6_token_group_join": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS shingle
+  FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS one, b.doc_id AS other, count(*) AS both_have
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT one, other FROM shared JOIN sizes s ON s.doc_id = one JOIN sizes t ON t.doc_id = other
+  WHERE 100 * both_have >= 90 * (s.n + t.n - both_have)),
+reach AS (
+  SELECT doc_id, doc_id AS met FROM documents
+  UNION
+  SELECT r.doc_id, l.other FROM reach r JOIN links l ON r.met = l.one)
+SELECT r.doc_id, coalesce(max(s.n), 0)::BIGINT AS n_shingles, min(r.met) AS component_id
+FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
 """,
     "op8_url_reputation": """
 WITH parsed AS (
