@@ -9,6 +9,7 @@ staged inside a ``workspace`` goes with it; its result is staged with ``lasting`
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -51,11 +52,19 @@ def discard(spark: SparkSession, folder: str) -> None:
     files.delete(path, True)
 
 
-def staged(frame: DataFrame, label: str, *, compression: str = "zstd") -> DataFrame:
-    """Write the frame now and return the same rows read from the written table."""
+def staged(frame: DataFrame, label: str, *, compression: str = "zstd", settle: bool = False) -> DataFrame:
+    """Write the frame now and return the same rows read from the written table.
+
+    With ``settle`` the driver collects its garbage afterwards, upon which Spark deletes
+    the shuffle files of finished steps that nothing refers to any more. Worth it after a
+    step that shuffled much; nothing but disk space depends on it.
+    """
     spark = frame.sparkSession
     folder = staging_path(spark, label)
     frame.write.option("compression", compression).parquet(folder)
+    if settle:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(folder)
 
 
