@@ -347,23 +347,23 @@ def repeated_passages(
         "t", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"),
         F.sha2(F.lit(b""), 256).alias("kept_sha256"),
     )
-    runs = staged(_find_runs(long_, window, anchor), "runs")
+    runs = staged(_find_runs(long_, window, anchor), "runs", settle=True)
     same = runs.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "first", "last", "anchor")).alias("one"))
     shared = same.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).where("total > 1")
-    met = staged(same.join(shared, "key"), "shared-runs")
+    met = staged(same.join(shared, "key"), "shared-runs", settle=True)
     known = runs.join(met.where("n > 1").select("key", "run"), ["key", "run"]).select("t", F.col("first").alias("start"), (F.col("last") + window).alias("end"))
     open_keys = met.where("kinds > 1")
     wanted = open_keys.select("key", "run", F.least("n", F.lit(2)).alias("n"), (F.col("kinds") > most_runs).alias("large"), "one.*")
     by_text = wanted.groupBy("t").agg(F.collect_list(F.struct("key", "run", "first", "last", "anchor", "n", "large")).alias("runs"))
     single = copies.where("copies = 1").select("t")
-    known = staged(known.join(single, "t", "left_semi"), "known-spans")
+    known = staged(known.join(single, "t", "left_semi"), "known-spans", settle=True)
     # One row of each text that takes part is read, with its wanted runs: the texts are the large
     # side of a hashed join, dealt by text and id, so that copies are spread and dropped there.
     one_id = F.coalesce("one_id", F.lit("")).alias("one_id")
     taking_part = by_text.join(known.select("t").distinct(), "t", "full").join(copies.select("t", one_id), "t")
     texts = long_.select("t", F.coalesce("_id", F.lit("")).alias("one_id"), "text")
     texts = texts.join(taking_part.hint("shuffle_hash"), ["t", "one_id"])
-    texts = staged(texts.select("t", "text", "runs"), "passage-texts")
+    texts = staged(texts.select("t", "text", "runs"), "passage-texts", settle=True)
     cut = staged(_cut_out(texts.where("runs IS NOT NULL"), window), "cut-runs")
     found = _by_suffixes(cut, window, shard).unionByName(_by_windows(cut, window))
     spans = known.unionByName(found).distinct().groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

@@ -9,8 +9,9 @@ qualifies are opened and their members counted exactly. Groups that the node is
 connected with need not be opened.
 
 A family too large for one task is dealt into parts. Parts are joined through hubs of
-their largest components; then every node outside the family's largest component meets
-all parts, so that no link is lost, and no other pair is looked at again.
+their largest components; then all nodes outside the family's largest component, in blocks
+of the size of a part, meet every part, so that no link is lost; nodes that are connected by
+then are not compared again.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from tradelark.llm.graph import components
 from tradelark.llm.words import mixed, shingle_sets
 from tradelark.plans.staging import lasting, staged, workspace
 
-# Shingles are counted together in so many cells to order them by frequency, those of so many
-# documents' sets at a time that hold this many shingles.
-CELL_BITS, COUNTED = 20, 1 << 22
+# One shingle in SAMPLED is counted over all documents; counts are kept in so many cells.
+SAMPLED, CELL_BITS = 4, 22
+# What a cell may show at most, and where shingles that were not counted stand.
+MOST_COUNT, NOT_COUNTED = 65_000, 1
 # Members of a group at most, and shingles that the nodes of a part hold together.
-GROUP, PART = 64, 1 << 22
+GROUP, PART = 64, 1 << 21
 # Texts worked on at once.
 TEXTS = 512
 
@@ -47,39 +49,38 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int = TEXTS) -> Iterator[pa
             yield batch.slice(at, size)
 
 
-def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """Per cell, how often its shingles occur in documents read together with another that has them.
+def _counted(tokens: np.ndarray) -> np.ndarray:
+    return tokens % np.uint64(SAMPLED) == 0
 
-    Any fixed order of shingles finds all links; this one puts shingles of a single document
-    first. Counting those too would drown the ones that some dozen documents share.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, dtype=np.int64)
-        held: list[np.ndarray] = []
+def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
+    """Per cell, in how many documents its counted shingles are that several documents have.
 
-        def add() -> None:
-            tokens, often = np.unique(np.concatenate(held), return_counts=True)
-            shared = often > 1
-            cells = (tokens[shared] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-            np.add.at(total, cells, often[shared])
-            held.clear()
+    Any fixed order of shingles finds all links. This one puts shingles of a single document
+    first, then those that are not counted, then shared ones by frequency: what many documents
+    share says little about their similarity and would tie unlike ones together.
+    """
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            held += shingle_sets(batch.column("text").to_pylist(), k)
-            if sum(map(len, held)) >= COUNTED:
-                add()
-        if held:
-            add()
-        cells = np.flatnonzero(total)
-        yield pa.record_batch({"cell": pa.array(cells), "n": pa.array(total[cells])})
-
-    found = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(1 << CELL_BITS, dtype=np.int64)
+            tokens = np.concatenate(shingle_sets(batch.column("text").to_pylist(), k))
+            upper = (tokens[_counted(tokens)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.record_batch({"upper": pa.array(upper)})
+
+    shared = docs.select("text").mapInArrow(emit, "upper int").groupBy("upper").count().where("count > 1")
+    cell = F.shiftrightunsigned(F.col("upper"), 32 - CELL_BITS)
+    found = shared.groupBy(cell.alias("cell")).agg(F.least(F.sum("count"), F.lit(MOST_COUNT)).cast("int").alias("n")).toArrow()
+    total = np.zeros(1 << CELL_BITS, dtype=np.uint16)
     total[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return total
 
 
+def _standing(tokens: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Where shingles stand in the order: the smaller, the rarer."""
+    counts = total[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+    return np.where(_counted(tokens), counts, np.uint16(NOT_COUNTED))
+
+
 def shingled(docs: DataFrame, k: int, pct: int) -> DataFrame:
     """doc_id, n, node, rare of every row: set size, the set's number, its rarest shingles."""
     frequency = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k))
@@ -90,8 +91,7 @@ def shingled(docs: DataFrame, k: int, pct: int) -> DataFrame:
             rare = []
             for tokens in sets:
                 n = len(tokens)
-                common = frequency.value[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                first = np.argsort(common, kind="stable")[: n - -(-pct * n // 100) + 1 if n else 0]
+                first = np.argsort(_standing(tokens, frequency.value), kind="stable")[: n - -(-pct * n // 100) + 1 if n else 0]
                 rare.append(tokens[first].view(np.int64))
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"),
@@ -116,7 +116,7 @@ def _families(nodes: DataFrame, pct: int) -> DataFrame:
     stretch = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hub = F.last("first", ignorenulls=True).over(stretch)
     links = marked.withColumn("hub", hub).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    return components(links.distinct()).withColumnRenamed("component", "family")
+    return components(staged(links.distinct(), "family-links", settle=True)).withColumnRenamed("component", "family")
 
 
 class _Forest:
@@ -204,7 +204,9 @@ def _by_part(rows: DataFrame, keys: list[str], schema: str, work: Callable[[pa.T
         if held:
             yield work(pa.Table.from_batches(held))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, schema)
+    # Of a node's rows in a part, the one that asks comes first.
+    order = [*keys, "node", *([F.desc("asking")] if "asking" in rows.columns else [])]
+    return rows.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def _labelled(pct: int, k: int, group: int) -> Callable[[pa.Table], pa.RecordBatch]:
@@ -246,27 +248,26 @@ def jaccard_components(
 
 
 def _joined(docs: DataFrame, k: int, pct: int, group: int, part: int, hubs: int) -> DataFrame:
-    rows = staged(shingled(docs, k, pct), "shingled")
+    rows = staged(shingled(docs, k, pct), "shingled", settle=True)
     nodes = rows.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min_by("rare", F.coalesce("doc_id", F.lit(0))).alias("rare")
     )
-    families = staged(_families(nodes, pct), "families")
+    families = staged(_families(nodes, pct), "families", settle=True)
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     known = staged(families.join(least, "node"), "family-nodes")
     sizes = known.groupBy("family").agg(F.ceil(F.sum("n") / part).alias("parts"))
     dealt = known.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    wanted = dealt.select("node", "family", "parts", "part", F.col("doc_id").alias("wanted_id"))
+    wanted = dealt.select("node", "n", "family", "parts", "part", F.col("doc_id").alias("wanted_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     # The wanted ids are the small side: hashed, so that no text is sorted.
     same = F.col("doc_id").eqNullSafe(F.col("wanted_id"))
-    read = texts.join(wanted.hint("shuffle_hash"), same).select("node", "family", "parts", "part", "text")
-    read = staged(read, "family-texts")
+    read = texts.join(wanted.hint("shuffle_hash"), same).select("node", "n", "family", "parts", "part", "text")
+    read = staged(read, "family-texts", settle=True)
     schema = "node long, label long"
-    local = staged(_by_part(read, ["family", "part"], schema, _labelled(pct, k, group)), "part-labels")
+    local = staged(_by_part(read, ["family", "part"], schema, _labelled(pct, k, group)), "part-labels", settle=True)
     labels = local
-    large = known.join(sizes.where("parts > 1"), "family").select("node", "family")
-    if not large.isEmpty():
-        labels = _across_parts(read, local, large, pct, k, group, hubs)
+    if not sizes.where("parts > 1").isEmpty():
+        labels = _across_parts(read, local, pct, k, group, part, hubs)
     # Every row of a node takes the smallest doc_id of the node's component.
     named = rows.where("n > 0").select("node", "doc_id").join(labels, "node", "left")
     found = named.withColumn("label", F.coalesce("label", "node"))
@@ -279,12 +280,12 @@ def _joined(docs: DataFrame, k: int, pct: int, group: int, part: int, hubs: int)
 
 
 def _across_parts(
-    read: DataFrame, local: DataFrame, large: DataFrame, pct: int, k: int, group: int, hubs: int
+    read: DataFrame, local: DataFrame, pct: int, k: int, group: int, part: int, hubs: int
 ) -> DataFrame:
     """node, label over whole families that were dealt into parts."""
     schema = "node long, label long"
     texts = read.where("parts > 1")
-    held = staged(texts.join(local, "node"), "large-families")
+    held = staged(texts.join(local, "node"), "large-families", settle=True)
     # Hubs: a few nodes of the largest components of each part.
     size = F.count(F.lit(1)).over(Window.partitionBy("family", "part", "label"))
     by_size = Window.partitionBy("family", "part").orderBy(F.desc("size"), "label", "node")
@@ -294,20 +295,25 @@ def _across_parts(
     met = _by_part(meeting, ["family", "part"], schema, _labelled(pct, k, group))
     joined = met.select(F.col("node"), F.col("label").alias("other")).join(local, "node")
     first = staged(_merged(local, joined), "hub-labels")
-    # Every node outside its family's largest component meets all parts of the family.
+    # Blocks of the nodes outside their family's largest component meet all parts of the family.
     now = held.drop("label").join(first, "node")
-    sizes = now.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("family").agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("main"))
+    sizes = now.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    main = F.max_by("label", F.struct("size", -F.col("label"))).alias("main")
+    outside = F.sum("n") - F.max_by("n", F.struct("size", -F.col("label")))
+    largest = sizes.groupBy("family").agg(main, F.ceil(outside / part).alias("blocks")).where("blocks > 0")
     marked = now.join(largest, "family")
-    visiting = marked.where("label <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    staying = marked.withColumn("asking", F.lit(False))
-    everyone = staying.unionByName(visiting.withColumn("asking", F.lit(True))).drop("main")
+    # The list of numbers from 0 on.
+    numbers = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    block = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks"))
+    visiting = marked.where("label <> main").withColumn("block", block).withColumn("part", numbers("parts"))
+    staying = marked.withColumn("block", numbers("blocks"))
+    everyone = staying.withColumn("asking", F.lit(False)).unionByName(visiting.withColumn("asking", F.lit(True)))
     checked = _by_part(
-        everyone.groupBy("family", "part", "node").agg(F.first("text").alias("text"), F.first("label").alias("label"), F.max("asking").alias("asking")),
-        ["family", "part"], schema, _labelled(pct, k, group),
+        everyone.select("family", "part", "block", "node", "text", "label", "asking"),
+        ["family", "part", "block"], schema, _labelled(pct, k, group),
     )
-    found = checked.select("node", F.col("label").alias("other")).join(first, "node")
-    return staged(_merged(first, found), "across-labels")
+    found = checked.select("node", F.col("label").alias("other")).distinct().join(first, "node")
+    return staged(_merged(first, found), "across-labels", settle=True)
 
 
 def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
