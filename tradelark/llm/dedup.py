@@ -37,14 +37,12 @@ STRETCH = 64
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
-    room = 1 << max(0, len(data) - 1).bit_length()
-    return np.concatenate(([np.uint64(0)], np.cumsum(byte_keys()[data] * powers(room)[: len(data)], dtype=np.uint64)))
+    return np.concatenate(([np.uint64(0)], np.cumsum(byte_keys()[data] * powers(len(data))[: len(data)], dtype=np.uint64)))
 
 
 def _hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
     """Hash of the bytes between two places of each pair, whatever the place."""
-    room = 1 << (len(sums) - 1).bit_length()
-    value = (sums[end] - sums[start]) * powers(room, True)[start]
+    value = (sums[end] - sums[start]) * powers(len(sums), True)[start]
     return mixed(value + np.asarray(salt).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

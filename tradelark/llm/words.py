@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 
 # Bytes worked on at once; longer texts are read in pieces cut between words.
-PIECE = 1 << 22
+PIECE = 1 << 20
 _FACTOR = 0x9E3779B97F4A7C15
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -30,13 +30,19 @@ def byte_keys() -> np.ndarray:
     return np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-@cache
+# The longest powers so far, of the factor and of its inverse.
+_powers: dict[bool, np.ndarray] = {}
+
+
 def powers(count: int, inverse: bool = False) -> np.ndarray:
-    """Powers 0 to count - 1 of an odd factor (or of its inverse) modulo 2**64."""
-    factor = pow(_FACTOR, -1, 1 << 64) if inverse else _FACTOR
-    steps = np.full(count, factor, dtype=np.uint64)
-    steps[:1] = 1
-    return np.multiply.accumulate(steps)
+    """Powers 0 to count - 1 (at least) of an odd factor, or of its inverse, modulo 2**64."""
+    kept = _powers.get(inverse)
+    if kept is None or len(kept) < count:
+        factor = pow(_FACTOR, -1, 1 << 64) if inverse else _FACTOR
+        steps = np.full(1 << max(0, count - 1).bit_length(), factor, dtype=np.uint64)
+        steps[0] = 1
+        kept = _powers[inverse] = np.multiply.accumulate(steps)
+    return kept
 
 
 @cache
@@ -52,9 +58,8 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     gap = _gaps()[values]
     edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     starts, ends = edges[0::2], edges[1::2]
-    room = 1 << (len(values) - 1).bit_length()
-    sums = np.cumsum(byte_keys()[values] * powers(room)[: len(values)], dtype=np.uint64)
-    found = (sums[ends - 1] - sums[starts - 1]) * powers(room, True)[starts]
+    sums = np.cumsum(byte_keys()[values] * powers(len(values))[: len(values)], dtype=np.uint64)
+    found = (sums[ends - 1] - sums[starts - 1]) * powers(len(values), True)[starts]
     return mixed(found + (ends - starts).astype(np.uint64)), starts
 
 
