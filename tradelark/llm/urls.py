@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradelark.plans.staging import staged
+
 # Fixed values of the contract: verdict, host, start of the path.
 RULES = (
     ("block", "net", "/"),
@@ -60,7 +62,7 @@ def suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def _strength(groups: DataFrame, rate: str) -> Column:
+def _strength(groups: DataFrame, rate: str) -> float:
     """Pseudo-counts with which a level's prior weighs, from the spread of its groups.
 
     The squared distance of a group's rate from its prior's is worth rate * (1 - rate)
@@ -73,25 +75,28 @@ def _strength(groups: DataFrame, rate: str) -> Column:
     )
     own = F.when(F.col("extra") > 0, (F.col("spread") - F.col("noise")) / F.col("extra")).otherwise(UNKNOWN_OWN)
     bounded = F.greatest(F.lit(LEAST_OWN), F.least(F.lit(MOST_OWN), own))
-    return labelled.select(1 / bounded - 1).scalar()
+    return labelled.select(1 / bounded - 1).first()[0]
 
 
 def host_reputation(pages: DataFrame) -> DataFrame:
     """Per host of ``pages`` (host, outcome; null where unknown): n, bad, posterior rate and sd."""
     hosts = pages.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).alias("bad"))
+    # Written once: the levels below read one row per host, never the pages again, and the
+    # driver sees one number per level.
+    hosts = staged(hosts, "host-outcomes")
     hosts = hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))})
     total = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*total)
     suffixes = domains.groupBy("suffix").agg(*total)
-    overall = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("rate")).scalar()
+    n, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
+    overall = ((bad or 0) + 0.5) / ((n or 0) + 1)
 
     def shrink(groups: DataFrame, prior: str, rate: str) -> DataFrame:
-        weight = _strength(groups, prior)
-        return groups.withColumn("weight", weight).withColumn(
+        return groups.withColumn("weight", F.lit(_strength(groups, prior))).withColumn(
             rate, (F.col("weight") * F.col(prior) + F.col("bad")) / (F.col("weight") + F.col("n"))
         )
 
-    suffixes = shrink(suffixes.withColumn("all_rate", overall), "all_rate", "suffix_rate")
+    suffixes = shrink(suffixes.withColumn("all_rate", F.lit(overall)), "all_rate", "suffix_rate")
     domains = shrink(domains.join(suffixes.select("suffix", "suffix_rate"), "suffix"), "suffix_rate", "domain_rate")
     hosts = shrink(hosts.join(domains.select("domain", "suffix", "domain_rate"), ["domain", "suffix"]), "domain_rate", "rate")
     sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + F.col("n") + 1))
