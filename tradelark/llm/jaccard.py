@@ -27,10 +27,9 @@ from tradelark.llm.graph import components
 from tradelark.llm.words import mixed, shingle_sets
 from tradelark.plans.staging import lasting, staged, workspace
 
-# One shingle in SAMPLED is counted over all documents; counts are kept in so many cells.
-SAMPLED, CELL_BITS = 4, 22
-# What a cell may show at most, and where shingles that were not counted stand.
-MOST_COUNT, NOT_COUNTED = 65_000, 1
+# One shingle in SAMPLED is counted over all documents; counts are kept in so many cells, which
+# show this at most.
+SAMPLED, CELL_BITS, MOST_COUNT = 4, 22, 65_000
 # Members of a group at most, and shingles that the nodes of a part hold together.
 GROUP, PART = 64, 1 << 21
 # Texts worked on at once.
@@ -56,9 +55,9 @@ def _counted(tokens: np.ndarray) -> np.ndarray:
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """Per cell, in how many documents its counted shingles are that several documents have.
 
-    Any fixed order of shingles finds all links. This one puts shingles of a single document
-    first, then those that are not counted, then shared ones by frequency: what many documents
-    share says little about their similarity and would tie unlike ones together.
+    Any fixed order of shingles finds all links. This one puts counted shingles first, those of
+    a single document before shared ones, and the most frequent behind all others: what many
+    documents share says little about their similarity and would tie unlike ones together.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,15 +74,19 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     return total
 
 
-def _standing(tokens: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Where shingles stand in the order: the smaller, the rarer."""
+def _standing(tokens: np.ndarray, total: np.ndarray, common: int) -> np.ndarray:
+    """Where shingles stand in the order, the rarest first; ``common`` is for those not counted."""
     counts = total[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-    return np.where(_counted(tokens), counts, np.uint16(NOT_COUNTED))
+    return np.where(_counted(tokens), counts, np.uint16(common))
 
 
 def shingled(docs: DataFrame, k: int, pct: int) -> DataFrame:
     """doc_id, n, node, rare of every row: set size, the set's number, its rarest shingles."""
-    frequency = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k))
+    total = _frequencies(docs, k)
+    # What is not counted stands behind what all but the fullest cells hold: cells also hold
+    # shingles of a single document that share them with others by chance.
+    common = int(np.quantile(total, 0.98)) + 1
+    frequency = docs.sparkSession.sparkContext.broadcast(total)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -91,7 +94,7 @@ def shingled(docs: DataFrame, k: int, pct: int) -> DataFrame:
             rare = []
             for tokens in sets:
                 n = len(tokens)
-                first = np.argsort(_standing(tokens, frequency.value), kind="stable")[: n - -(-pct * n // 100) + 1 if n else 0]
+                first = np.argsort(_standing(tokens, frequency.value, common), kind="stable")[: n - -(-pct * n // 100) + 1 if n else 0]
                 rare.append(tokens[first].view(np.int64))
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"),
