@@ -167,6 +167,10 @@ def connect(sets: list[np.ndarray], pct: int, labels: np.ndarray, asking: np.nda
     holding = cells % groups
     token_start = np.searchsorted(cells // groups, np.arange(len(every) + 1))
     own_start = np.append(np.cumsum(n) - n, n.sum())
+    # The members' tokens, group by group: those of a group are one stretch.
+    grouped = np.concatenate([tokens[own_start[x] : own_start[x + 1]] for x in by_group])
+    grouped_start = np.append(0, np.cumsum(n[by_group]))
+    mark = np.zeros(len(every), dtype=bool)
     for at in asking.tolist():
         mine = tokens[own_start[at] : own_start[at + 1]]
         counts = token_start[mine + 1] - token_start[mine]
@@ -174,15 +178,19 @@ def connect(sets: list[np.ndarray], pct: int, labels: np.ndarray, asking: np.nda
         bound = np.bincount(holding[np.repeat(token_start[mine], counts) + inside], minlength=groups)
         qualifies = (100 * bound >= pct * n[at]) & (100 * largest >= pct * n[at]) & (pct * smallest <= 100 * n[at])
         opened = np.flatnonzero(qualifies)
+        mark[mine] = True
         for number in opened[np.argsort(-bound[opened], kind="stable")]:
-            members = by_group[member_start[number] : member_start[number + 1]]
-            members = members[forest.roots(members) != forest.roots(np.array([at]))[0]]
-            if not len(members):
+            first, last = member_start[number], member_start[number + 1]
+            members = by_group[first:last]
+            apart = forest.roots(members) != forest.roots(np.array([at]))[0]
+            if not apart.any():
                 continue
-            shared = np.array([np.intersect1d(mine, tokens[own_start[x] : own_start[x + 1]], assume_unique=True).size for x in members])
-            linked = members[100 * shared >= pct * (n[at] + n[members] - shared)]
+            start = grouped_start[first]
+            shared = np.add.reduceat(mark[grouped[start : grouped_start[last]]].astype(np.int64), grouped_start[first:last] - start)
+            linked = members[apart & (100 * shared >= pct * (n[at] + n[members] - shared))]
             if len(linked):
                 forest.join(at, linked)
+        mark[mine] = False
     return forest.roots(np.arange(len(sets)))
 
 
