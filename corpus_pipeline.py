@@ -23,6 +23,8 @@ from tradelark.plans.staging import lasting, staged, workspace
 LEAST_LANGUAGE_SCORE = 0.3
 # Near duplicates: five-word shingles, similarity in percent.
 SHINGLE, SIMILAR_PCT = 5, 80
+# A passage that occurs elsewhere goes if it has this many words, or as many bytes as op7 takes.
+PASSAGE_WORDS = 51
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the passages that occur elsewhere; n_chars follows the text."""
-    left = without_passages(docs)
+    left = without_passages(docs, words=PASSAGE_WORDS)
     return left.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else left
 
 

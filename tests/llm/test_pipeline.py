@@ -87,3 +87,24 @@ def test_extra_columns_with_clashing_names_stay(spark, folder):
         docs = staged(stage(spark, docs, folder), name)
         assert docs.columns == ["doc_id", "text", "lang", "score", "node"]
     assert sorted(row.score for row in docs.collect()) == ["src", "src"]
+
+
+def test_passages_of_51_ordinary_words_go_wherever_they_occur(spark, folder):
+    draw = np.random.default_rng(77)
+    short = ["a", "of", "the", "to", "and", "in", "was", "his", "that", "for"]
+    passage, other = (" ".join(f"{short[draw.integers(10)]}{draw.integers(30)}" for _ in range(count)) for count in (51, 50))
+    assert len(passage) < 300
+    around = [sentence(500 + at, 30) for at in range(8)]
+    around[6], around[7] = f"left {around[6]}", f"right {around[7]}"
+    inside = f"{sentence(600, 40, 10**9)} {passage} {sentence(601, 40, 10**9)}"
+    rows = [(1, f"{around[0]} {passage} é{around[1]}"), (2, f"{passage.upper()}\n{around[2]}"), (3, f"{around[3]} {other}"), (4, f"{other} {around[4]}")]
+    # Here the passage is part of a longer one; it still goes from the others.
+    rows += [(5, f"{around[5]} {inside} {around[6]}"), (6, f"{inside} {around[7]}"), (7, None), (8, passage.split(" ", 1)[1])]
+    found = {row.doc_id: row for row in corpus_pipeline.passage_stage(spark, documents(spark, rows), folder).collect()}
+    assert found[1].text == f"{around[0]} é{around[1]}" and found[2].text == around[2]
+    assert found[3].text == rows[2][1] and found[4].text == rows[3][1] and found[7].text is None and found[8].text == rows[7][1]
+    assert passage not in found[5].text and found[5].text.startswith(around[5]) and found[5].text.endswith(around[6])
+    assert found[6].text.split() == around[7].split()
+    assert all(row.n_chars == len(row.text) for row in found.values() if row.text is not None)
+    alone = corpus_pipeline.passage_stage(spark, documents(spark, [*rows[:1], rows[4], rows[5]]), folder)
+    assert {row.doc_id: row.text for row in alone.collect()}[1] == f"{around[0]} é{around[1]}"

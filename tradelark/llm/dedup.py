@@ -11,6 +11,9 @@ The windows of an anchor with more runs than a task should hold are counted by t
 hash instead, spread over all tasks.
 
 A text is known by a 64-bit hash; texts that occur several times are repeated as a whole.
+
+Windows of a number of words are found the same way, in the texts written as word hashes of
+equal width.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelark.llm.suffixes import Shard
-from tradelark.llm.words import byte_keys, mixed, powers
+from tradelark.llm.words import byte_keys, mixed, powers, word_starts, words_of
 from tradelark.plans.staging import lasting, staged, workspace
 
 WINDOW, ANCHOR = 400, 32
@@ -34,6 +37,8 @@ PIECE_BITS = 20
 SHARD, MOST_RUNS = 2 << 20, 8192
 # Windows of a run are compared with others in stretches of this many.
 STRETCH = 64
+# Bytes of a word's hash in texts that are searched by words.
+WORD = 6
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -330,21 +335,16 @@ def _kept(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(remove, "t long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
-def repeated_passages(
-    docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, shard: int = SHARD, most_runs: int = MOST_RUNS
+def _losing(
+    base: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, shard: int = SHARD, most_runs: int = MOST_RUNS
 ) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with columns t and n_bytes, and per text t that loses something: what is left.
+    """The texts of ``base`` (doc_id, text, t, n_bytes) that lose something, once each.
 
-    The second table has t, n_removed, n_spans, kept (binary) and kept_sha256.
+    The first table has t and n_bytes of those that occur several times and go as a whole,
+    the second t, text and spans (start, end) of the others.
     """
-    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    base = docs.withColumns({"t": F.xxhash64(data), "n_bytes": F.octet_length(data).cast("long")})
     long_ = base.where(F.col("n_bytes") >= window).withColumn("_id", F.col("doc_id").cast("string"))
     copies = staged(long_.groupBy("t").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.min("_id").alias("one_id")), "text-copies")
-    whole = copies.where("copies > 1").select(
-        "t", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"),
-        F.sha2(F.lit(b""), 256).alias("kept_sha256"),
-    )
     runs = staged(_find_runs(long_, window, anchor), "runs", settle=True)
     same = runs.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "first", "last", "anchor")).alias("one"))
     shared = same.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).where("total > 1")
@@ -366,9 +366,78 @@ def repeated_passages(
     found = _by_suffixes(cut, window, shard).unionByName(_by_windows(cut, window))
     spans = known.unionByName(found).distinct().groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     losing = texts.select("t", "text").join(single, "t", "left_semi").join(spans.hint("shuffle_hash"), "t").select("t", "text", "spans")
+    return copies.where("copies > 1").select("t", "n_bytes"), losing
+
+
+def _with_text_key(docs: DataFrame) -> DataFrame:
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return docs.withColumns({"t": F.xxhash64(data), "n_bytes": F.octet_length(data).cast("long")})
+
+
+def repeated_passages(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with columns t and n_bytes, and per text t that loses something: what is left.
+
+    The second table has t, n_removed, n_spans, kept (binary) and kept_sha256.
+    """
+    base = _with_text_key(docs)
+    copied, losing = _losing(base, **options)
+    whole = copied.select(
+        "t", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"),
+        F.sha2(F.lit(b""), 256).alias("kept_sha256"),
+    )
     return base, _kept(losing).unionByName(whole)
 
 
+def _passage_spans(base: DataFrame, **options) -> DataFrame:
+    """t and spans of every text of ``base`` that loses something."""
+    copied, losing = _losing(base, **options)
+    all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))
+    return losing.select("t", "spans").unionByName(copied.select("t", all_of_it.alias("spans")))
+
+
+def _as_words(base: DataFrame, words: int) -> DataFrame:
+    """``base`` with each text of ``words`` words or more written as word hashes; t stays that of the text."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            hashes, counts = words_of(batch.column("text").to_pylist())
+            data = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD].tobytes()
+            ends = np.cumsum(counts) * WORD
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"), "t": batch.column("t"),
+                "text": pa.array([data[end - n * WORD : end] for n, end in zip(counts.tolist(), ends.tolist())], pa.binary()),
+                "n_bytes": pa.array(counts * WORD, pa.int64()),
+            })
+
+    # Words and the gaps between them take two bytes each, but for one gap.
+    long_ = base.where(F.col("n_bytes") >= 2 * words - 1).select(F.col("doc_id").cast("string").alias("doc_id"), "t", "text")
+    return long_.mapInArrow(write, "doc_id string, t long, text binary, n_bytes long").where(F.col("n_bytes") >= words * WORD)
+
+
+def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+    merged: list[tuple[int, int]] = []
+    for start, end in sorted((span["start"], span["end"]) for span in spans or ()):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((start, end))
+    return merged
+
+
+def _without(text: bytes, spans: list[dict] | None, word_spans: list[dict] | None) -> bytes:
+    """The text without spans of bytes and of word hashes; a gap goes with the word before it."""
+    gone = _merged(spans)
+    if word_spans:
+        places = np.append(word_starts(text), len(text))
+        # A neighbouring word whose hash shares some bytes only is not part of a passage.
+        gone += [(int(places[-(-start // WORD)]), int(places[end // WORD])) for start, end in _merged(word_spans)]
+    parts, at = [], 0
+    for start, end in sorted(gone):
+        parts.append(text[at:start])
+        at = max(at, end)
+    return b"".join([*parts, text[at:]])
+
+
 def passage_digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text).
 
@@ -388,18 +457,41 @@ def passage_digest(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def without_passages(docs: DataFrame, **options) -> DataFrame:
+def without_passages(docs: DataFrame, *, words: int | None = None, **options) -> DataFrame:
     """All rows and columns of ``docs``, the text without its repeated passages.
 
-    Bytes of a character that a passage cut in two are left out. A null text stays null.
+    With ``words``, strings of that many words that also start anywhere else go as well, in
+    whatever case and white space. Both kinds are sought in the whole texts. Bytes of a
+    character that a passage cut in two are left out. A null text stays null.
     """
-    with workspace(docs.sparkSession):
-        others = F.struct(*(name for name in docs.columns if name != "text"), F.lit(0).alias("_")).alias("others")
-        base, left = repeated_passages(docs.select("doc_id", "text", others), **options)
-        kept = F.col("kept").cast("string")
-        # Only where a character was cut: a replacement character of the text's own stays.
-        repaired = F.when(F.is_valid_utf8(kept), kept).otherwise(F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")))
-        left = lasting(left.select("t", repaired.alias("_kept")), "passage-texts-left")
-    rows = base.join(left, "t", "left")
-    kept = F.when(F.col("text").isNotNull(), F.coalesce("_kept", "text")).alias("text")
-    return rows.select(*(kept if name == "text" else F.col("others").getField(name).alias(name) for name in docs.columns))
+    spark = docs.sparkSession
+    others = F.struct(*(name for name in docs.columns if name != "text"), F.lit(0).alias("_")).alias("others")
+    base = _with_text_key(docs.select("doc_id", "text", others))
+    with workspace(spark):
+        spans = lasting(_passage_spans(base.drop("others"), **options), "byte-spans")
+    if words:
+        with workspace(spark):
+            coded = staged(_as_words(base, words), "texts-as-words")
+            found = _passage_spans(coded, **{**options, "window": words * WORD, "anchor": ANCHOR})
+            found = lasting(found.withColumnRenamed("spans", "word_spans"), "word-spans")
+        spans = spans.join(found, "t", "full")
+    else:
+        spans = spans.withColumn("word_spans", F.lit(None).cast("array<struct<start:int,end:int>>"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            kept = []
+            for at, (byte, word) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("word_spans").to_pylist())):
+                kept.append(_without(*_bytes([batch.column("text")[at].as_py()]), byte, word) if byte or word else None)
+            yield pa.record_batch({
+                "others": batch.column("others"), "text": batch.column("text"), "kept": pa.array(kept, pa.binary()),
+            })
+
+    rows = base.select("t", "text", "others").join(spans, "t", "left").select("others", "text", "spans", "word_spans")
+    schema = rows.select("others", "text").schema.add("kept", "binary")
+    rows = rows.mapInArrow(cut, schema)
+    kept = F.col("kept").cast("string")
+    # Only where a character was cut: a replacement character of the text's own stays.
+    repaired = F.when(F.is_valid_utf8(kept), kept).otherwise(F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")))
+    text = F.when(F.col("text").isNotNull(), F.coalesce(repaired, "text")).alias("text")
+    return rows.select(*(text if name == "text" else F.col("others").getField(name).alias(name) for name in docs.columns))

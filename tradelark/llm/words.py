@@ -63,6 +63,12 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed(found + (ends - starts).astype(np.uint64)), starts
 
 
+def word_starts(data: bytes) -> np.ndarray:
+    """First byte of every word of a text."""
+    gap = np.concatenate(([True], _gaps()[np.frombuffer(data, np.uint8)]))
+    return np.flatnonzero(gap[:-1] & ~gap[1:])
+
+
 def _pieces(data: bytes) -> Iterator[bytes]:
     start = 0
     while len(data) - start > PIECE:
