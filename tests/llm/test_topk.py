@@ -58,3 +58,28 @@ def test_proof_saves_work_and_keeps_all_members():
     query = np.full(16, 50)
     possible = index.candidates(query, 1)
     assert 7 in possible and len(possible) <= topk.FEW
+
+
+@pytest.mark.parametrize("block", [80, 8192])
+def test_large_components_take_part(spark, block):
+    draw = np.random.default_rng(9)
+    rows = [(at, draw.normal(0, 0.2, 8).astype(np.float32).tolist(), 0) for at in range(300)]
+    rows[7][1][2], rows[11][1][3], rows[50][1][2], rows[52][1][5] = 1e5, -1e5, 1e5, 40000.0
+    # Products that only sum in a long because their signs differ, and negative ones beyond it.
+    rows[100][1][:3], rows[101][1][:3], rows[102][1][:3] = [3e8, 3e8, 0.0], [3e8, -3e8, 1.0], [-3e8, -3e8, 0.0]
+    vectors = table(spark, rows)
+    found = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), block=block)
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+
+
+@pytest.mark.parametrize("large", [1e15, 1e30])
+def test_components_too_large_to_be_exact_are_an_error(spark, large):
+    vectors = table(spark, [(0, [1.0, 1.0], 0), (1, [large, 0.0], 0)])
+    with pytest.raises(Exception, match="would not be exact"):
+        topk.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()
+
+
+def test_scores_beyond_a_long_are_an_error(spark):
+    vectors = table(spark, [(0, [1e9], 0), (1, [1e9], 0)])
+    with pytest.raises(Exception, match="score beyond a long, query 0"):
+        topk.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()

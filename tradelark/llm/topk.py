@@ -12,6 +12,7 @@ possible members, all of them, are scored exactly.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from tradelark.plans.staging import staged
 BLOCK, QUERY_BLOCK = 8192, 512
 # Values of one segment lie within this width.
 WIDTH = 8
-# Larger components have no part: products of their scaled values would not sum in a long.
-MOST_VALUE = 1 << 15
+# Floor of a scaled component is exact below this; a larger one is an error.
+MOST_VALUE = 1 << 53
 # Stretches of segments between two proofs, and the possible members that end the search.
 STRETCHES, FEW = 4, 64
 
@@ -34,7 +35,7 @@ STRETCHES, FEW = 4, 64
 def scaled(vectors: DataFrame, scale: int) -> DataFrame:
     """vec_id and value (floor of scale * component) of the vectors that take part."""
     whole = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")))
-    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) <= MOST_VALUE))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False))).select(
         F.col("vec_id").cast("long").alias("vec_id"), whole.alias("value")
     )
@@ -49,12 +50,15 @@ def _blocks(rows: DataFrame, most: int) -> DataFrame:
         def block(dims: int) -> pa.RecordBatch:
             nonlocal number
             ids, values = waiting.pop(dims)
+            values = np.array(values, "<i8")
+            if values.max(initial=0) >= MOST_VALUE or values.min(initial=0) <= -MOST_VALUE:
+                raise ValueError(f"a vector has a component of {MOST_VALUE} or more after scaling; its scores would not be exact")
             number += 1
             return pa.record_batch({
                 "block": pa.array([number - 1], pa.int64()),
                 "ids": pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
                 "dims": pa.array([dims], pa.int32()),
-                "values": pa.array([np.array(values, "<i8").tobytes()], pa.binary()),
+                "values": pa.array([values.tobytes()], pa.binary()),
             })
 
         for batch in batches:
@@ -75,6 +79,7 @@ class Index:
 
     def __init__(self, values: np.ndarray, width: int = WIDTH):
         self.values = values
+        self.largest = int(np.abs(values).max(initial=0))
         self.least, self.most = values.min(axis=0), values.max(axis=0)
         order, dim, low, high, start = [], [], [], [], [0]
         for at in range(values.shape[1]):
@@ -96,10 +101,15 @@ class Index:
         # The bounds of each posting's segment; a dimension's postings rise by segment.
         self.posted_low, self.posted_high = (np.repeat(bound.astype(float), np.diff(self.start)) for bound in (self.low, self.high))
 
+    def _most(self, query: np.ndarray) -> int:
+        """The size that no score passes."""
+        return len(query) * self.largest * int(np.abs(query).max(initial=0))
+
     def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
         """All vectors that can be among the k best, ties with the k-th included."""
         n, dims = self.values.shape
-        if n <= max(k, FEW) or not len(self.dim):
+        # Bounds are sums of whole numbers in doubles: without rounding, or not used.
+        if n <= max(k, FEW) or not len(self.dim) or 8 * self._most(query) >= 1 << 53:
             return np.arange(n)
         weight = query[self.dim]
         one, other = weight * self.low, weight * self.high
@@ -126,9 +136,7 @@ class Index:
             left = by_impact[done:]
             open_ = np.zeros(dims)
             open_[self.dim[left[::-1]]] = impact[left[::-1]]  # the last written is the largest
-            # Sums of whole numbers, rounded only where they pass 2**53.
-            slack = 4 * dims * np.finfo(float).eps * (added.max() + open_.sum())
-            gap = width.sum() + open_.sum() + slack
+            gap = width.sum() + open_.sum()
             possible = np.flatnonzero(added >= np.partition(added, n - k)[n - k] - gap)
             if len(possible) <= FEW:
                 break
@@ -138,8 +146,13 @@ class Index:
         """The k best (vec_id, score) but for the query's own row, ties to the smaller vec_id."""
         where = self.candidates(query, k + int((ids == own).sum()))
         where = where[ids[where] != own]
-        scores = self.values[where] @ query
-        best = np.lexsort((ids[where], -scores))[:k]
+        if self._most(query) < 1 << 63:
+            scores = self.values[where] @ query
+            best = np.lexsort((ids[where], -scores))[:k]
+        else:
+            # Python integers where a long would overflow.
+            scores = [sum(map(operator.mul, own, query.tolist())) for own in self.values[where].tolist()]
+            best = sorted(range(len(scores)), key=lambda at: (-scores[at], ids[where[at]]))[:k]
         return [(int(ids[where[at]]), int(scores[at])) for at in best]
 
 
@@ -151,8 +164,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, scale: int = 25
     """query_id, rank, vec_id, score: the k best of ``vectors`` for each row of ``queries``.
 
     Both have vec_id and embedding; other columns are ignored. A vector takes part unless its
-    id, itself or a component is null, or a component is not finite or beyond 2**15 in size. Scores are
-    inner products of floor(scale * component). Vectors are compared with queries of their own
+    id, itself or a component is null, or a component is not finite. Scores are exact inner
+    products of floor(scale * component); a floor of 2**53 or more in size, and a score among
+    the best that does not fit a long, is an error. Vectors are compared with queries of their own
     length. A row with the query's vec_id is not its candidate. Ties go to the smaller vec_id.
     Queries meet the blocks of the index in blocks, never row by row.
     """
@@ -178,9 +192,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, scale: int = 25
                 for number, query in zip(query_ids, _numbers(row["query_values"]).reshape(len(query_ids), -1)):
                     found += [(int(number), *one) for one in kept[2].search(query, kept[1], number, k)]
                 columns = zip(*found) if found else ((), (), ())
-                yield pa.record_batch([pa.array(column, pa.int64()) for column in columns], ["query_id", "vec_id", "score"])
+                kinds = (pa.int64(), pa.int64(), pa.decimal128(38))
+                yield pa.record_batch([pa.array(column, kind) for column, kind in zip(columns, kinds)], ["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(search, "query_id long, vec_id long, score decimal(38,0)")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    fits = F.col("score").between(F.lit(-(1 << 63)), F.lit((1 << 63) - 1))
+    wrong = F.raise_error(F.concat(F.lit("score beyond a long, query "), F.col("query_id").cast("string"))).cast("long")
+    return ranked.select("query_id", "rank", "vec_id", F.when(fits, F.col("score").cast("long")).otherwise(wrong).alias("score"))
