@@ -17,6 +17,7 @@ from tradelark.llm.shard import shard_by_bytes
 from tradelark.llm.tokens import token_output
 from tradelark.llm.topk import top_k
 from tradelark.llm.urls import judge_urls
+from tradelark.llm.warc import archive_digest
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,6 +76,10 @@ def histogram_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def sequential_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_digest(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_bitmask": language_bitmask,
     "op2_hidden_markov_scores": hidden_markov_scores,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_reputation": url_reputation,
     "op9_benchmark_containment": benchmark_containment,
     "op10_histogram_sharding": histogram_sharding,
+    "op13_sequential_archives": sequential_archives,
 }
 
 SQL: dict[str, str] = {
@@ -191,5 +197,18 @@ shared AS (
   FROM doc_shingles JOIN item_shingles USING (shingle) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
 FROM shared JOIN sizes USING (item_id) WHERE 100 * n_shared >= 80 * n_shingles
+""",
+    "op13_sequential_archives": """
+WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+digests AS (
+  SELECT *, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first FROM payloads),
+groups AS (
+  SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, i * 5 + 1, 5))::BIGINT) AS twenty_bits FROM digests)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (twenty_bits[i // 4 + 1] >> (15 - 5 * (i % 4))) % 32 + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM groups
 """,
 }
