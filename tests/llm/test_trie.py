@@ -1,0 +1,139 @@
+"""The trie of conversations against a plain one, whole tables and shards of a few turns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from checks.compare import connect, difference
+from tradelark.llm import trie
+from tradelark.llm.queries import QUERIES, SQL
+
+TURNS = "conv_id long, turn long, role string, text string, sequence string, n long"
+
+
+def turns(spark, rows):
+    return spark.createDataFrame([(*row, "clash", 1) for row in rows], TURNS)
+
+
+def head_length(conv_id):
+    return zlib.crc32(str(conv_id).encode()) % 6
+
+
+def plain(rows):
+    """Every node by the definition, from (conv_id, turn, role, text)."""
+    convs = {}
+    for conv_id, turn, role, text in rows:
+        if conv_id is not None:
+            convs.setdefault(conv_id, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {conv_id: [one[2:] for one in sorted(some)] for conv_id, some in convs.items()}
+    members, ends = {}, {}
+    for conv_id in sorted(own):
+        taken = head_length(conv_id)
+        whole = tuple(own.get(conv_id - conv_id % 100, [])[:taken] + own[conv_id][taken:])
+        for depth in range(len(whole) + 1):
+            members.setdefault(whole[:depth], []).append(conv_id)
+        ends.setdefault(whole, []).append(conv_id)
+    children, leaves, saved = dict.fromkeys(members, 0), dict.fromkeys(members, 0), dict.fromkeys(members, 0)
+    for path in sorted(members, key=len, reverse=True):
+        leaves[path] = leaves[path] if children[path] else 1
+        saved[path] += (len(members[path]) - 1) * len(path[-1][1]) if path else 0
+        if path:
+            children[path[:-1]] += 1
+            leaves[path[:-1]] += leaves[path]
+            saved[path[:-1]] += saved[path]
+    return sorted(
+        (
+            min(some), len(path), min(members[path[:-1]]) if path else -1, len(some), children[path], leaves[path], saved[path],
+            hashlib.sha256(",".join(map(str, ends.get(path, []))).encode()).hexdigest(),
+        )
+        for path, some in members.items()
+    )
+
+
+def result(frame):
+    return sorted(tuple(-1 if value is None else value for value in row) for row in frame.collect())
+
+
+def some_rows(seed, convs, *, step=1, longest=12, texts=3):
+    draw = random.Random(seed)
+    rows = []
+    for conv_id in range(0, convs * step, step):
+        for turn in range(draw.randrange(1, longest)):
+            rows.append((conv_id, turn, ("user", "assistant")[turn % 2], f"é{draw.randrange(texts)}" * draw.randrange(1, 4)))
+    draw.shuffle(rows)
+    return rows
+
+
+ODD = [
+    (5, None, "user", "first of all"), (5, 0, None, "x"), (5, 1, "user", None), (5, 1, "user", None), (5, 2, "", ""), (5, 3, "us", "er:x"), (5, 4, "user", ":x"),
+    (None, 0, "user", "nobody's"), (100, 0, "user", "head"), (100, 1, "user", "\U0001f600 two"), (100, 2, "user", ""), (101, 0, "a", "b"), (299, 0, "a", "b"),
+    (1234567890123, 0, "user", "far" * 1000), *((300, at, "user", "again") for at in range(500)), *((301, at, "user", "again") for at in range(500)),
+]
+
+
+@pytest.mark.parametrize("shard_turns, fan", [(1 << 18, 64), (40, 64), (7, 2), (7, 3)])
+def test_against_the_definition(spark, shard_turns, fan):
+    rows = some_rows(1, 120) + some_rows(2, 40, step=131, longest=30, texts=2)
+    found = trie.prefix_trie(turns(spark, rows).repartition(5), shard_turns=shard_turns, fan=fan)
+    assert found.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert result(found) == plain(rows)
+
+
+@pytest.mark.parametrize("shard_turns", [1 << 18, 30])
+def test_nulls_ties_repeats_and_long_conversations(spark, shard_turns):
+    assert result(trie.prefix_trie(turns(spark, ODD), shard_turns=shard_turns, fan=2)) == plain(ODD)
+
+
+def test_a_large_group_of_equal_conversations(spark):
+    # Ids whose conversations take no turn from another one, all with the same turns.
+    alike = [conv_id for conv_id in range(6000) if not head_length(conv_id)]
+    rows = [(conv_id, turn, "user", "same") for conv_id in alike for turn in (0, 1)] + some_rows(4, 30, step=997)
+    pieces, trie.IDS_PIECE = trie.IDS_PIECE, 50
+    try:
+        found = result(trie.prefix_trie(turns(spark, rows), shard_turns=20, fan=2))
+    finally:
+        trie.IDS_PIECE = pieces
+    assert found == plain(rows) and max(row[3] for row in found if row[1] == 2) >= len(alike)
+
+
+def test_empty_table(spark):
+    assert result(trie.prefix_trie(turns(spark, []))) == []
+    assert result(trie.prefix_trie(turns(spark, [(None, 1, "user", "x")]))) == []
+
+
+def test_only_turnless_conversations(spark):
+    # Their own turns all give way to those of an absent conversation.
+    alone = [conv_id for conv_id in range(101, 200) if head_length(conv_id) >= 1]
+    rows = [(conv_id, 0, "user", "gone") for conv_id in alone]
+    assert result(trie.prefix_trie(turns(spark, rows))) == plain(rows)
+    assert plain(rows) == [(alone[0], 0, -1, len(alone), 0, 1, 0, hashlib.sha256(",".join(map(str, alone)).encode()).hexdigest())]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.lists(st.integers(1, 3), max_size=25).map(tuple) | st.integers(1, 20).map(lambda n: (1,) * n), max_size=20))
+def test_order_and_shared_turns(rows):
+    rows = list(rows)
+    lengths = np.array([len(row) for row in rows], dtype=np.int64)
+    ids = np.array([[turn, turn] for row in rows for turn in row], dtype=np.uint64).reshape(-1, 2)
+    order, shared = trie.sorted_rows(ids, np.cumsum(lengths) - lengths, lengths)
+    ordered = [rows[at] for at in order]
+    assert ordered == sorted(rows)
+    for at in range(1, len(rows)):
+        one, two = ordered[at - 1], ordered[at]
+        assert shared[at] == next((k for k in range(len(one)) if one[k] != two[k]), len(one))
+
+
+def test_query_against_sql_and_the_definition(spark, small):
+    found = QUERIES["op12_conversation_trie"](spark, small)
+    rows = [tuple(row) for row in spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert result(found) == plain(rows)
+    connection = connect(small)
+    assert difference(connection, SQL["op12_conversation_trie"], found) is None
+    connection.close()

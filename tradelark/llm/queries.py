@@ -16,6 +16,7 @@ from tradelark.llm.packing import pack_documents
 from tradelark.llm.shard import shard_by_bytes
 from tradelark.llm.tokens import token_output
 from tradelark.llm.topk import top_k
+from tradelark.llm.trie import prefix_trie
 from tradelark.llm.urls import judge_urls
 from tradelark.llm.warc import archive_digest
 
@@ -76,6 +77,10 @@ def histogram_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(_table(spark, folder, "conversations"))
+
+
 def sequential_archives(spark: SparkSession, folder: str) -> DataFrame:
     return archive_digest(_table(spark, folder, "pages"))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_reputation": url_reputation,
     "op9_benchmark_containment": benchmark_containment,
     "op10_histogram_sharding": histogram_sharding,
+    "op12_conversation_trie": conversation_trie,
     "op13_sequential_archives": sequential_archives,
 }
 
@@ -197,6 +203,37 @@ shared AS (
   FROM doc_shingles JOIN item_shingles USING (shingle) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
 FROM shared JOIN sizes USING (item_id) WHERE 100 * n_shared >= 80 * n_shingles
+""",
+    "op12_conversation_trie": """
+WITH ordered AS (
+  SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+taken AS (
+  SELECT *, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1))))) % 6 AS h
+  FROM ordered),
+rebuilt AS (
+  SELECT t.conv_id, list_concat(coalesce(o.own[1:t.h], []), t.own[t.h + 1:]) AS turns
+  FROM taken t LEFT JOIN ordered o ON o.conv_id = t.conv_id - t.conv_id % 100),
+prefixes AS (
+  SELECT conv_id, turns[1:d] AS path, d, len(turns) = d AS ends
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY path, d),
+childless AS (
+  SELECT n.*, CASE WHEN depth > 0 THEN (n_convs - 1) * length(path[depth].text) ELSE 0 END AS own_saved,
+    coalesce(c.n_children, 0) AS n_children
+  FROM nodes n LEFT JOIN (SELECT path[1:depth - 1] AS up, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up) c ON c.up = n.path),
+subtrees AS (
+  SELECT path[1:d] AS top, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own_saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM childless) GROUP BY top)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM childless n JOIN subtrees s ON s.top = n.path
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
 """,
     "op13_sequential_archives": """
 WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
