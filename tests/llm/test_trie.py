@@ -95,14 +95,22 @@ def test_a_large_group_of_equal_conversations(spark):
     # Ids whose conversations take no turn from another one, all with the same turns.
     alike = [conv_id for conv_id in range(6000) if not head_length(conv_id)]
     rows = [(conv_id, turn, "user", "same") for conv_id in alike for turn in (0, 1)] + some_rows(4, 30, step=997)
-    pieces, trie.IDS_PIECE = trie.IDS_PIECE, 50
-    try:
-        found = result(trie.prefix_trie(turns(spark, rows), shard_turns=20, fan=2))
-    finally:
-        trie.IDS_PIECE = pieces
+    found = result(trie.prefix_trie(turns(spark, rows), shard_turns=20, fan=2))
     assert found == plain(rows) and max(row[3] for row in found if row[1] == 2) >= len(alike)
 
 
+def test_ids_of_equal_conversations_in_many_stretches(spark):
+    ids = random.Random(5).sample(range(-500, 100_000), 3000)
+    rows = [(conv_id, conv_id % 3 * b"x") for conv_id in ids]
+    frame = spark.createDataFrame(rows, "conv_id long, sequence binary").repartition(5)
+    found = trie.distinct_sequences(frame, piece=50).collect()
+    for row in found:
+        own = sorted(conv_id for conv_id, sequence in rows if sequence == row.sequence)
+        assert (row.n, row.least) == (len(own), own[0])
+        assert row.ends_sha256 == hashlib.sha256(",".join(map(str, own)).encode()).hexdigest()
+    assert len(found) == 3
+
+
 def test_empty_table(spark):
     assert result(trie.prefix_trie(turns(spark, []))) == []
     assert result(trie.prefix_trie(turns(spark, [(None, 1, "user", "x")]))) == []

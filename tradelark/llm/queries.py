@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradelark.llm.align import align_documents
 from tradelark.llm.decontaminate import contained_items
 from tradelark.llm.dedup import passage_digest
 from tradelark.llm.jaccard import jaccard_components
@@ -25,10 +26,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def language_bitmask(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,6 +78,10 @@ def histogram_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def shared_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    return align_documents(_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie(_table(spark, folder, "conversations"))
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_reputation": url_reputation,
     "op9_benchmark_containment": benchmark_containment,
     "op10_histogram_sharding": histogram_sharding,
+    "op11_shared_cuts": shared_cuts,
     "op12_conversation_trie": conversation_trie,
     "op13_sequential_archives": sequential_archives,
 }

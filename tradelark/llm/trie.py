@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -97,15 +98,15 @@ def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds.values())], list(kinds))
 
 
-def _equal_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _equal_ids(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
     """Stretches of the ids of each key, in the sorted order of the input: key, first, n, ids."""
     key, first, n, parts, held, rows = None, 0, 0, [], 0, []
     for batch in batches:
         for own, conv_id in zip(batch.column("key").to_pylist(), batch.column("conv_id").to_pylist()):
-            if own != key or held > IDS_PIECE:
+            if own != key or held > piece:
                 if parts:
                     rows.append((key, first, n, ",".join(parts)))
-                    if len(rows) >= 4096 or held > IDS_PIECE:
+                    if len(rows) >= 4096 or held > piece:
                         yield _batch(rows, _STRETCH)
                         rows = []
                 key, first, n, parts, held = own, conv_id, 0, [], 0
@@ -140,7 +141,7 @@ def _hash_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows, _HASHED)
 
 
-def distinct_sequences(rebuilt: DataFrame) -> DataFrame:
+def distinct_sequences(rebuilt: DataFrame, *, piece: int = IDS_PIECE) -> DataFrame:
     """sequence, n, least, ends_sha256: every distinct sequence, its conversations and their digest.
 
     The ids of one sequence are dealt over tasks by range and written out there; only the
@@ -148,7 +149,7 @@ def distinct_sequences(rebuilt: DataFrame) -> DataFrame:
     """
     keyed = rebuilt.withColumn("key", F.unhex(F.substring(F.sha2("sequence", 256), 1, 32)))
     ids = keyed.select("key", "conv_id").repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
-    stretches = ids.mapInArrow(_equal_ids, "key binary, first long, n long, ids string")
+    stretches = ids.mapInArrow(partial(_equal_ids, piece=piece), "key binary, first long, n long, ids string")
     dealt = stretches.repartition("key").sortWithinPartitions("key", "first")
     hashed = dealt.mapInArrow(_hash_ids, "key binary, least long, n long, ends_sha256 string")
     return keyed.select("key", "sequence").distinct().join(hashed, "key").select("sequence", "n", "least", "ends_sha256")
