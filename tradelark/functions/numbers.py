@@ -52,10 +52,15 @@ def mean_of_whole(column: Column) -> Column:
     return ratio(F.sum(column.cast("bigint")), F.count(column))
 
 
+def score_sum(column: str | Column) -> Column:
+    """Sum of small fractional values as decimals with 12 digits; sums of such sums are as exact."""
+    column = F.col(column) if isinstance(column, str) else column
+    return F.sum(column.cast("decimal(18,12)"))
+
+
 def mean_of_scores(column: str | Column) -> Column:
     """Mean of small fractional values, summed as decimals with 12 digits."""
-    column = F.col(column) if isinstance(column, str) else column
-    return ratio(F.sum(column.cast("decimal(18,12)")), F.count(column))
+    return ratio(score_sum(column), F.count(column))
 
 
 def share_of_true(flag: Column) -> Column:

@@ -16,6 +16,7 @@ from tradelark.functions.text import strip, strip_lower, strip_upper
 from tradelark.market import Market
 
 PURCHASED = "order_purchase_timestamp"
+MONTH = "purchase_year_month"
 DELIVERED = "order_delivered_customer_date"
 PROMISED = "order_estimated_delivery_date"
 
@@ -120,7 +121,7 @@ def order_features(orders: DataFrame) -> DataFrame:
         {
             "purchase_year": F.year(bought),
             "purchase_month": F.month(bought),
-            "purchase_year_month": year_month(bought),
+            MONTH: year_month(bought),
             "purchase_day_of_week": day_name(bought),
             "estimated_delivery_days": floor_days(F.col(PROMISED), bought),
             **delay_features(),

@@ -30,9 +30,11 @@ def join_kind(unmatched: Unmatched) -> str:
 def item_summary(items: DataFrame, null_sums: NullSums = "zero") -> DataFrame:
     """Per order: items, merchandise, freight, distinct products, distinct sellers.
 
-    The two distinct counts run beside the sums. Counted together, every item would
-    be sent three times at full width; apart, reports that do not use the distinct
-    counts do not compute them either.
+    Each distinct count runs by itself beside the sums, over the two columns it needs.
+    Counted together, every item would be sent once per count and once for the sums, at
+    full width and dealt by all their columns; apart, each is combined by order and value, items
+    that are stored by order meet without an exchange, and reports that do not use a
+    count do not compute it either.
     """
     known = items.where(F.col("order_id").isNotNull())
     sums = known.groupBy("order_id").agg(
@@ -40,11 +42,9 @@ def item_summary(items: DataFrame, null_sums: NullSums = "zero") -> DataFrame:
         total("price", null_sums).alias("merchandise_value"),
         total("freight_value", null_sums).alias("freight_value"),
     )
-    variety = known.groupBy("order_id").agg(
-        F.countDistinct("product_id").alias("unique_products"),
-        F.countDistinct("seller_id").alias("unique_sellers"),
-    )
-    return sums.join(variety, "order_id", "left")
+    products = known.groupBy("order_id").agg(F.countDistinct("product_id").alias("unique_products"))
+    sellers = known.groupBy("order_id").agg(F.countDistinct("seller_id").alias("unique_sellers"))
+    return sums.join(products, "order_id", "left").join(sellers, "order_id", "left")
 
 
 def payment_summary(payments: DataFrame, null_sums: NullSums = "zero") -> DataFrame:

@@ -15,12 +15,13 @@ from tradelark.functions.numbers import (
     mean_of_whole,
     percent,
     ratio,
+    score_sum,
     share_of_true,
     total,
 )
 from tradelark.market import Market
-from tradelark.operators.cleaning import DELIVERED, PROMISED, PURCHASED, late_flag
-from tradelark.operators.master import BUYER, Unmatched, completed_market, order_facts
+from tradelark.operators.cleaning import DELIVERED, MONTH, PROMISED, PURCHASED, late_flag
+from tradelark.operators.master import BUYER, Unmatched, completed_market, order_facts, with_buyer
 
 NullGroups = Literal["drop", "keep"]
 
@@ -33,11 +34,18 @@ def mean_delivery_days(mode: DayMode) -> Column:
 
 
 def _within(facts: DataFrame, period: tuple[str, str] | None) -> DataFrame:
-    """Keep purchases from the first moment on and before the second."""
+    """Keep purchases from the first moment on and before the second.
+
+    Cleaned orders also tell their month, which they may be stored by: what it says is
+    implied, but lets the scan leave out the files of other months.
+    """
     if period is None:
         return facts
     start, end = (F.lit(bound).cast("timestamp_ntz") for bound in period)
-    return facts.where((F.col(PURCHASED) >= start) & (F.col(PURCHASED) < end))
+    inside = (F.col(PURCHASED) >= start) & (F.col(PURCHASED) < end)
+    if MONTH in facts.columns:
+        inside &= F.col(MONTH).between(*(bound[:7] for bound in period))
+    return facts.where(inside)
 
 
 def _with_growth(months: DataFrame, month: str) -> DataFrame:
@@ -54,22 +62,30 @@ def _with_growth(months: DataFrame, month: str) -> DataFrame:
     )
 
 
+def _per_customer_and_month(facts: DataFrame, *sums: Column) -> DataFrame:
+    """Orders (and sums) of each customer id and month, so that few rows meet their buyer."""
+    bought = facts.withColumn(MONTH, year_month(F.col(PURCHASED)))
+    return bought.groupBy("customer_id", MONTH).agg(F.count("*").alias("orders"), *sums)
+
+
 def monthly_performance(market: Market) -> DataFrame:
     """Per purchase month: orders, buyers, revenue, merchandise, reviews, order value, growth."""
-    facts = order_facts(completed_market(market), buyer=True, items=True, payments=True, reviews=True)
-    months = (
-        facts.withColumn("purchase_year_month", year_month(F.col(PURCHASED)))
-        .where(F.col("purchase_year_month").isNotNull())
-        .groupBy("purchase_year_month")
-        .agg(
-            F.count("*").alias("orders"),
-            F.countDistinct(BUYER).alias("customers"),
-            total("payment_value").alias("revenue"),
-            total("merchandise_value").alias("merchandise_value"),
-            mean_of_scores("review_score").alias("average_review_score"),
-        )
+    facts = order_facts(completed_market(market), items=True, payments=True, reviews=True)
+    sums = _per_customer_and_month(
+        facts.where(F.col(PURCHASED).isNotNull()),
+        total("payment_value").alias("revenue"),
+        total("merchandise_value").alias("merchandise_value"),
+        score_sum("review_score").alias("scores"),
+        F.count("review_score").alias("scored"),
+    )
+    months = with_buyer(sums, market.customers, "keep").groupBy(MONTH).agg(
+        F.sum("orders").alias("orders"),
+        F.countDistinct(BUYER).alias("customers"),
+        total("revenue").alias("revenue"),
+        total("merchandise_value").alias("merchandise_value"),
+        ratio(F.sum("scores"), F.sum("scored")).alias("average_review_score"),
     )
-    return _with_growth(months, "purchase_year_month").orderBy("purchase_year_month")
+    return _with_growth(months, MONTH).orderBy(MONTH)
 
 
 def monthly_growth(market: Market, period: tuple[str, str] | None = None) -> DataFrame:
@@ -79,13 +95,12 @@ def monthly_growth(market: Market, period: tuple[str, str] | None = None) -> Dat
     null revenue.
     """
     orders = _within(completed_market(market).orders, period)
-    facts = order_facts(
-        market.having(orders=orders), buyer=True, payments=True, unmatched="drop", null_sums="null"
-    )
-    months = facts.groupBy(year_month(F.col(PURCHASED)).alias("purchase_month")).agg(
-        F.count("*").alias("orders"),
+    facts = order_facts(market.having(orders=orders), payments=True, null_sums="null")
+    sums = _per_customer_and_month(facts, total("payment_value", "null").alias("revenue"))
+    months = with_buyer(sums, market.customers, "drop").groupBy(F.col(MONTH).alias("purchase_month")).agg(
+        F.sum("orders").alias("orders"),
         F.countDistinct(BUYER).alias("customers"),
-        total("payment_value", "null").alias("revenue"),
+        total("revenue", "null").alias("revenue"),
     )
     return _with_growth(months, "purchase_month").orderBy("purchase_month")
 

@@ -16,27 +16,47 @@ from pyspark.sql import DataFrame, SparkSession
 from tradelark.contract import TABLES
 from tradelark.market import Market
 from tradelark.operators import audit, category, cleaning, cohort, headline, master, payment, performance, rfm, seller
+from tradelark.sources.buckets import Layout, bucket_count, replace_partitions, write_bucketed
 from tradelark.sources.files import read_csv_market, write_table
 
 
+# Tables stored by order: they meet each other on order_id without an exchange. An order may have any
+# number of items, payments and reviews, so those are spread within their bucket.
+BY_ORDER = {"orders": 1, "order_items": 4, "payments": 4, "reviews": 4}
+
+
 class Refresh:
-    """Writes tables below one output folder, in Parquet or additionally in CSV."""
+    """Writes tables below one output folder, in Parquet or additionally in CSV.
+
+    ``buckets`` is how many the tables by order are stored in, by default as their raw size asks for.
+    """
 
-    def __init__(self, spark: SparkSession, out: str, *, report_format: str = "parquet"):
+    def __init__(self, spark: SparkSession, out: str, *, report_format: str = "parquet", buckets: int | None = None):
         self.spark = spark
         self.out = out
         self.report_format = report_format
+        self.buckets = buckets
 
     def _stored(self, section: str, name: str, frame: DataFrame) -> DataFrame:
         path = f"{self.out}/{section}/{name}"
         write_table(frame, path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def layout(self, table: str) -> Layout:
+        """How a clean table by order is stored; orders are also stored by month."""
+        partition = cleaning.MONTH if table == "orders" else None
+        return Layout("order_id", self.buckets or 1, partition, BY_ORDER[table])
+
+    def _stored_by_order(self, table: str, frame: DataFrame) -> DataFrame:
+        return write_bucketed(frame, f"{self.out}/clean/{table}", self.layout(table))
+
     def _report(self, name: str, frame: DataFrame) -> None:
         write_table(frame, f"{self.out}/reports/{name}", self.report_format)
 
     def run(self, paths: Mapping[str, str]) -> None:
         raw = read_csv_market(self.spark, paths)
+        if self.buckets is None:
+            self.buckets = bucket_count(self.spark, [paths[table] for table in BY_ORDER])
         self.profile(raw)
         clean = self.clean(raw)
         self.reports(clean)
@@ -59,12 +79,19 @@ class Refresh:
     def clean(self, raw: Market) -> Market:
         """Write the clean tables and return the market that reads them."""
         derived = cleaning.clean_market(raw)
-        stored = Market(**{name: self._stored("clean", name, getattr(derived, name)) for name in TABLES})
+        stored = Market(**{
+            name: self._stored_by_order(name, getattr(derived, name)) if name in BY_ORDER else self._stored("clean", name, getattr(derived, name))
+            for name in TABLES
+        })
         self._stored("clean", "geolocation_lookup", cleaning.geo_lookup(stored.geolocation))
         self._report("contract_check", audit.contract_check(stored))
         self._report("cleaning_summary", cleaning.cleaning_summary(stored))
         return stored
 
+    def replace_months(self, clean_orders: DataFrame) -> None:
+        """Put cleaned orders in place of the months they were bought in; all orders of these months must be given."""
+        replace_partitions(clean_orders, f"{self.out}/clean/orders", self.layout("orders"))
+
     def reports(self, clean: Market) -> None:
         orders = self._stored("master", "order_analysis", master.order_master(clean))
         self._report("master_validation", master.master_validation(clean.orders, orders))
