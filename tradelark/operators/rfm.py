@@ -1,8 +1,8 @@
 """Recency, frequency and monetary value of buyers.
 
-``rfm_base`` is the costly part. The scores read it several times, so give them a
-base that has been written (``tradelark.plans.staging.staged``) when it is large. Only
-the edges of the measures that are asked for are computed.
+``rfm_base`` is the costly part. The scores read it three times (sketches, counts inside their
+brackets, scoring), so give them a base that has been written
+(``tradelark.plans.staging.staged``). Only the edges of the measures that are asked for are computed.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tradelark.functions.clock import floor_days
 from tradelark.functions.labels import frequency_score, value_segment
 from tradelark.functions.numbers import hundredths, mean_of_whole, percent, ratio, total
-from tradelark.functions.order_stats import scaled_quantiles, whole_number_ladder
+from tradelark.functions.order_stats import bracketed_quantiles
 from tradelark.market import Market
 from tradelark.operators.cleaning import PURCHASED
 from tradelark.operators.master import BUYER, completed_market, order_facts, with_buyer
@@ -66,14 +66,7 @@ def quintile_edges(
     """
     names = list(measures)
     values = base.select(*[_measures()[name].alias(name) for name in names])
-    marks = scaled_quantiles(
-        values.unpivot([], names, "measure", "value"),
-        ["measure"],
-        whole_number_ladder(F.col("value")),
-        parts=QUINTILES,
-        slots=range(QUINTILES + 1),
-        few_groups=True,
-    )
+    marks = bracketed_quantiles(values, names, parts=QUINTILES, slots=range(QUINTILES + 1))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("slot", "mark"))), lambda edge: edge["mark"])
     edges = marks.groupBy("measure").agg(ordered.alias("edges"))
     if repeated == "raise":

@@ -26,6 +26,7 @@ from tradelark.operators import (
     rfm,
     seller,
 )
+from tradelark.plans.staging import staged
 from tradelark.session import apply_runtime_settings
 from tradelark.sources.tpch import load_market
 
@@ -84,12 +85,17 @@ def _places(raw: Market) -> DataFrame:
     )
 
 
+def _base(clean: Market) -> DataFrame:
+    """The buyer base, written once: scores read it several times."""
+    return staged(rfm.rfm_base(clean), "rfm-base")
+
+
 def _segments(clean: Market) -> DataFrame:
-    return rfm.rfm_segments(rfm.rfm_scores(rfm.rfm_base(clean)))
+    return rfm.rfm_segments(rfm.rfm_scores(_base(clean)))
 
 
 def _scores(clean: Market, measure: str) -> DataFrame:
-    scored = rfm.with_quintile_scores(rfm.rfm_base(clean), measures=[measure])
+    scored = rfm.with_quintile_scores(_base(clean), measures=[measure])
     return scored.select(master.BUYER, f"{measure}_score")
 
 
