@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import re
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import by, market, order, records, table
 from tradelark.market import Market
@@ -101,3 +103,37 @@ def test_a_null_key_matches_a_null_parent(spark):
 def test_status_distribution_leaves_null_out(spark):
     orders = table(spark, "orders", [order("o1"), order("o2"), order("o3", status="shipped"), order("o4", status=None)])
     assert [tuple(row) for row in audit.status_distribution(orders).collect()] == [("delivered", 2), ("shipped", 1)]
+
+
+def messy_market(spark):
+    reviews = [("a", 1, None, None), ("a", 1, None, None), (None, 1, None, None), ("a", None, None, None), ("b", 2, None, None)]
+    sellers = [("s", None, "x"), ("s", "x", None), (None, "s", "x"), ("s", "x", "x")]
+    return market(spark, reviews=reviews, sellers=sellers)
+
+
+@pytest.mark.parametrize("collide", ["never", "always", "some"])
+def test_table_profile_is_exact_whatever_collides(spark, collide):
+    prints = {
+        "never": audit.row_fingerprint,
+        "always": lambda names: [F.lit(0), F.lit(0)],
+        "some": lambda names: [F.length(F.concat_ws("", *[F.col(name).cast("string") for name in names])), F.lit(1)],
+    }[collide]
+    found = by(audit.table_profile(messy_market(spark), fingerprint=prints), "table")
+    assert {name: found["reviews"][name] for name in ("rows", "columns", "duplicate_rows", "missing_values")} == {
+        "rows": 5, "columns": 4, "duplicate_rows": 1, "missing_values": 12
+    }
+    assert (found["sellers"]["rows"], found["sellers"]["duplicate_rows"], found["sellers"]["missing_values"]) == (4, 0, 3)
+    assert (found["orders"]["rows"], found["orders"]["duplicate_rows"], found["orders"]["missing_values"]) == (0, 0, 0)
+    assert len(found) == 9
+
+
+def test_tables_without_repeats_shuffle_fingerprints_only(spark):
+    tables = [(messy_market(spark).sellers, ["seller_id", "seller_city", "seller_state"])]
+    plan = audit._fingerprints(tables, audit.row_fingerprint)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert keys and not any("seller_" in key for key in keys)
+    wide = spark.range(3).select("id", *[F.when(F.col("id") == at % 3, at).alias(f"c{at}") for at in range(130)])
+    counted = audit._fingerprints([(wide, wide.columns)], audit.row_fingerprint).collect()
+    assert [(row.first, row.n, row.nulls) for row in counted] == [(None, 3, 260)]
+    profile = audit.table_profile(market(spark, sellers=[("s", None, "x"), ("t", None, "x")]))
+    assert "seller_city" not in profile._jdf.queryExecution().executedPlan().toString()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tradelark.contract import CONTRACT, Field, data_columns
 from tradelark.functions.numbers import mean_of_whole
 from tradelark.market import Market
+from tradelark.plans.staging import staged
 
 # (child table, foreign key, parent table, parent key)
 RELATIONS = (
@@ -63,23 +65,76 @@ def _check_table(table: str, frame: DataFrame) -> DataFrame:
     return verdicts.select(F.lit(table).alias("table"), F.inline("verdicts"))
 
 
-def table_profile(market: Market) -> DataFrame:
-    """Rows, columns, repeated rows and missing values per table, largest table first."""
+def _null_bits(names: Sequence[str]) -> list[Column]:
+    """Which of the columns are null, as bits of one number per 60 columns."""
+    groups = [names[at : at + 60] for at in range(0, len(names), 60)]
+    return [
+        reduce(Column.bitwiseOR, [F.shiftleft(F.col(name).isNull().cast("bigint"), at) for at, name in enumerate(group)])
+        for group in groups
+    ]
+
+
+def row_fingerprint(names: Sequence[str]) -> list[Column]:
+    """128 bits of a row. Equal rows have equal ones; that others have not is likely, not certain."""
+    # A hash passes over nulls, so where they stand is hashed as well.
+    nulls = _null_bits(names)
+    return [F.xxhash64(F.lit(seed), *nulls, *names) for seed in (1, 2)]
+
 
-    def profile(table: str, frame: DataFrame) -> DataFrame:
-        # Equal rows meet once, already combined before the shuffle.
-        names = data_columns(frame.columns)
-        copies = frame.groupBy(*names).agg(F.count("*").alias("_copies"))
-        nulls = reduce(Column.__add__, [F.col(name).isNull().cast("bigint") for name in names])
-        return copies.agg(
-            F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
-            F.lit(len(names)).alias("columns"),
-            F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
-            F.coalesce(F.sum(F.col("_copies") * nulls), F.lit(0)).alias("missing_values"),
-        ).select(F.lit(table).alias("table"), "*")
+def table_profile(market: Market, *, fingerprint: Callable[[Sequence[str]], list[Column]] = row_fingerprint) -> DataFrame:
+    """Rows, columns, repeated rows and missing values per table, largest table first.
 
-    profiles = _union([profile(table, frame) for table, frame in market.tables().items()])
-    return profiles.orderBy(F.desc("rows"), "table")
+    One job counts the fingerprints of all tables: what is shuffled is 16 bytes a row, combined
+    before. Only tables with repeated fingerprints are read again, and only their rows with
+    one of these are compared in full, so the counts are exact whatever collides.
+    """
+    tables = [(name, frame, data_columns(frame.columns)) for name, frame in market.tables().items()]
+    counted = staged(_fingerprints([(frame, names) for _, frame, names in tables], fingerprint), "fingerprints")
+    repeated = counted.where(F.col("first").isNotNull())
+    suspects = [row["number"] for row in repeated.select("number").distinct().collect()]  # at most the tables
+
+    zero = F.lit(0).cast("bigint")
+    entries = [
+        F.struct(F.lit(at).alias("number"), F.lit(name).alias("table"), F.lit(len(names)).alias("columns"))
+        for at, (name, _, names) in enumerate(tables)
+    ]
+    found = counted.sparkSession.range(1).select(F.inline(F.array(*entries)))
+    sums = counted.groupBy("number").agg(F.sum("n").alias("rows"), F.sum("nulls").alias("missing_values"))
+    found = found.join(sums, "number", "left")
+    if suspects:
+        copies = [_copies(at, tables[at][1], tables[at][2], repeated, fingerprint) for at in sorted(suspects)]
+        found = found.join(_union(copies), "number", "left")
+    else:
+        found = found.withColumn("duplicate_rows", zero)
+    filled = [F.coalesce(name, zero).alias(name) for name in ("rows", "duplicate_rows", "missing_values")]
+    return found.select("table", filled[0], "columns", *filled[1:]).orderBy(F.desc("rows"), "table")
+
+
+def _fingerprints(
+    tables: Sequence[tuple[DataFrame, list[str]]], fingerprint: Callable[[Sequence[str]], list[Column]]
+) -> DataFrame:
+    """number, first, second, n, nulls: a row per repeated fingerprint and one (without) for all others of a table."""
+
+    def prints(number: int, frame: DataFrame, names: list[str]) -> DataFrame:
+        nulls = reduce(Column.__add__, [F.bit_count(bits) for bits in _null_bits(names)])
+        first, second = fingerprint(names)
+        return frame.select(F.lit(number).alias("number"), first.alias("first"), second.alias("second"), nulls.cast("bigint").alias("nulls"))
+
+    rows = _union([prints(number, *table) for number, table in enumerate(tables)])
+    counts = rows.groupBy("number", "first", "second").agg(F.count("*").alias("n"), F.sum("nulls").alias("nulls"))
+    known = [F.when(F.col("n") > 1, F.col(half)).alias(half) for half in ("first", "second")]
+    return counts.groupBy("number", *known).agg(F.sum("n").alias("n"), F.sum("nulls").alias("nulls"))
+
+
+def _copies(
+    number: int, frame: DataFrame, names: list[str], repeated: DataFrame, fingerprint: Callable[[Sequence[str]], list[Column]]
+) -> DataFrame:
+    """number, duplicate_rows: rows beyond the first of each, among those with a repeated fingerprint."""
+    first, second = fingerprint(names)
+    marked = frame.select(*names, first.alias("_first"), second.alias("_second"))
+    wanted = repeated.where(F.col("number") == number).select(F.col("first").alias("_first"), F.col("second").alias("_second"))
+    same = marked.join(wanted, ["_first", "_second"], "left_semi").groupBy(*names).agg(F.count("*").alias("_copies"))
+    return same.agg(F.sum(F.col("_copies") - 1).alias("duplicate_rows")).select(F.lit(number).alias("number"), "duplicate_rows")
 
 
 def column_profile(market: Market, *, approx: bool = False) -> DataFrame:
