@@ -181,15 +181,34 @@ def unpack_numbers(control: bytes, data: bytes, count: int) -> np.ndarray:
     return every.view("<u4").ravel()[:count]
 
 
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, dtype=np.int64)
-    for batch in _slices(batches):
-        counts = np.bincount(np.concatenate([_from_halves(one) for one in batch.column("ids").to_pylist()]))
-        if len(counts) > len(total):
-            counts, total = total, counts
-        total[: len(counts)] += counts
-    ids = np.flatnonzero(total)
-    yield pa.record_batch({"id": pa.array(ids.astype(np.int64)), "n": pa.array(total[ids].astype(np.int64))})
+def _encoded_and_counted(docs: DataFrame, path: str, end: int) -> DataFrame:
+    """doc_id, ids (in halves) and counts: null but in one last row per task, which counts its ids."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    tail = int(end).to_bytes(4, "little")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total, doc_type = encoder(path), np.zeros(0, dtype=np.int64), None
+        for some in _slices(batches):
+            doc_type = some.schema.field("doc_id").type
+            parts = [own.encode(text) + tail for text in some.column("text").to_pylist()]
+            counts = np.bincount(np.frombuffer(b"".join(parts), "<u4"))
+            if len(counts) > len(total):
+                counts, total = total, counts
+            total[: len(counts)] += counts
+            ids = [np.frombuffer(one, "<u2").reshape(-1, 2).T.tobytes() for one in parts]
+            yield pa.record_batch([some.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "counts"])
+        if doc_type is not None:
+            yield pa.record_batch([pa.nulls(1, doc_type), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
+
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids binary, counts binary")
+
+
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.column("counts").to_pylist():
+            found = np.frombuffer(row, "<i8")
+            ids = np.flatnonzero(found)
+            yield pa.record_batch({"id": pa.array(ids.astype(np.int64)), "n": pa.array(found[ids])})
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, *, end: int, file_tokens: int = FILE_TOKENS) -> None:
@@ -201,8 +220,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, *, end: int, file
     come first; rows that share an id are all kept, next to each other. Other columns are ignored.
     """
     spark = docs.sparkSession
-    encoded = staged(encode_documents(docs, path, end, halves=True), "token-ids")
-    counts = encoded.select("ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    written = staged(_encoded_and_counted(docs, path, end), "token-ids")
+    encoded = written.where("counts IS NULL")
+    counted = written.select("counts").where("counts IS NOT NULL").mapInArrow(_sum_counts, "id long, n long")
+    counts = counted.groupBy("id").agg(F.sum("n").alias("n"))
     found = sorted((-row["n"], row["id"]) for row in counts.collect())  # at most the vocabulary
     order = np.array([id_ for _, id_ in found], dtype="<u4")
     rank = np.zeros(int(order.max(initial=0)) + 1, dtype="<u4")
@@ -236,7 +257,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, *, end: int, file
     dealt = rows.repartitionById(len(bounds) + 1, "file").sortWithinPartitions("file", "doc_id", "n_tokens", F.xxhash64("data"))
     numbered = dealt.select((F.shiftleft(F.col("file").cast("long"), 40) + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("position"), "doc_id", "n_tokens", "control", "data")
     numbered.write.option("compression", "none").parquet(f"{folder}/tokens")
-    for place in {name.rsplit("/", 1)[0] for name in encoded.inputFiles()}:
+    for place in {name.rsplit("/", 1)[0] for name in written.inputFiles()}:
         discard(spark, place)  # only the files are read from here on
 
 
