@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelark.llm.suffixes import Shard
@@ -439,24 +439,33 @@ def _without(text: bytes, spans: list[dict] | None, word_spans: list[dict] | Non
 
 
 def passage_digest(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text of every row of ``docs`` (doc_id, text).
 
     Texts are UTF-8 bytes, a null text is empty. Removed is each byte covered by a string of
     ``window`` bytes that also starts anywhere else, in another row or the same; repeated
-    rows of that length so lose everything. Other columns are ignored.
+    rows of that length so lose everything. text is what is left (a null text stays null), without
+    bytes of a character that was cut in two; the digest is of all bytes left. Other columns are ignored.
     """
     with workspace(docs.sparkSession):
         base, left = repeated_passages(docs.select("doc_id", "text"), **options)
-        left = lasting(left.select("t", "n_removed", "n_spans", "kept_sha256"), "passage-digest")
+        left = lasting(left.select("t", "n_removed", "n_spans", "kept_sha256", "kept"), "passage-digest")
     whole = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    rows = base.select("doc_id", "t", "n_bytes", whole.alias("whole"))
+    rows = base.select("doc_id", "t", "n_bytes", "text", whole.alias("whole"))
     none = F.lit(0).cast("long")
     return rows.join(left, "t", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
-        F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
+        F.coalesce("kept_sha256", "whole").alias("kept_sha256"), _text_left(),
     )
 
 
+def _text_left() -> Column:
+    """``kept`` as text where it is known, else ``text``; a null text stays null."""
+    kept = F.col("kept").cast("string")
+    # Only where a character was cut: a replacement character of the text's own stays.
+    repaired = F.when(F.is_valid_utf8(kept), kept).otherwise(F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")))
+    return F.when(F.col("text").isNotNull(), F.coalesce(repaired, "text")).alias("text")
+
+
 def without_passages(docs: DataFrame, *, words: int | None = None, **options) -> DataFrame:
     """All rows and columns of ``docs``, the text without its repeated passages.
 
@@ -490,8 +499,4 @@ def without_passages(docs: DataFrame, *, words: int | None = None, **options) ->
     rows = base.select("t", "text", "others").join(spans, "t", "left").select("others", "text", "spans", "word_spans")
     schema = rows.select("others", "text").schema.add("kept", "binary")
     rows = rows.mapInArrow(cut, schema)
-    kept = F.col("kept").cast("string")
-    # Only where a character was cut: a replacement character of the text's own stays.
-    repaired = F.when(F.is_valid_utf8(kept), kept).otherwise(F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")))
-    text = F.when(F.col("text").isNotNull(), F.coalesce(repaired, "text")).alias("text")
-    return rows.select(*(text if name == "text" else F.col("others").getField(name).alias(name) for name in docs.columns))
+    return rows.select(*(_text_left() if name == "text" else F.col("others").getField(name).alias(name) for name in docs.columns))
