@@ -20,6 +20,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -197,7 +198,7 @@ class _Texts:
             ids_b.append(two)
         self.n_a = np.array([len(one) for one in ids_a], dtype=np.int64)
         self.n_b = np.array([len(one) for one in ids_b], dtype=np.int64)
-        flat_a, flat_b = (np.fromiter((id_ for one in ids for id_ in one), np.int64, int(n.sum())) for ids, n in ((ids_a, self.n_a), (ids_b, self.n_b)))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((ids_a, self.n_a), (ids_b, self.n_b)))
         some = self.n_a > 0
         last_a, last_b = (np.cumsum(n)[some] - 1 for n in (self.n_a, self.n_b))
         # Both streams of a text have the same bytes, so ends may be counted on over all texts.
@@ -212,9 +213,8 @@ class _Texts:
         written = np.empty(len(flat_a) + len(flat_b), dtype=object)
         # In the text a token of A stands behind all tokens of B of earlier groups, one of B behind
         # all tokens of A up to its own group's last.
-        groups_a, groups_b = (np.searchsorted(cut, np.arange(len(flat))) for cut, flat in ((cut_a, flat_a), (cut_b, flat_b)))
-        place_a = np.arange(len(flat_a)) + np.append(0, cut_b + 1)[groups_a]
-        place_b = np.arange(len(flat_b)) + (cut_a + 1)[groups_b]
+        place_a = np.arange(len(flat_a)) + np.repeat(np.append(0, cut_b + 1)[: len(cut_b)], np.diff(cut_a, prepend=-1))
+        place_b = np.arange(len(flat_b)) + np.repeat(cut_a + 1, np.diff(cut_b, prepend=-1))
         written[place_a], written[place_b] = inner[flat_a], inner[flat_b]
         written[place_a[cut_a]], written[place_b[cut_b]] = last[0][flat_a[cut_a]], last[1][flat_b[cut_b]]
         result, start = [], 0
