@@ -78,10 +78,17 @@ def rebuilt_sequences(turns: DataFrame, *, group: int = 100, most: int = 5) -> D
         lambda pair: pair["one"]["turn"].eqNullSafe(pair["two"]["turn"]) & (pair["one"]["role"] == pair["two"]["role"]) & (pair["one"]["element"] != pair["two"]["element"]),
     )
     convs = staged(convs.select("conv_id", F.col("turns.element").alias("own"), tied.alias("tied")), "trie-conversations")
+    if convs.where("tied").isEmpty():
+        return _with_heads(convs.select("conv_id", "own"), group, most)
     # Texts are only shuffled for conversations whose order depends on them.
     again = rows.join(convs.where("tied").select("conv_id"), "conv_id", "left_semi")
     by_text = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "element")))["element"]
     convs = convs.where("NOT tied").select("conv_id", "own").unionByName(again.groupBy("conv_id").agg(by_text.alias("own")))
+    return _with_heads(convs, group, most)
+
+
+def _with_heads(convs: DataFrame, group: int, most: int) -> DataFrame:
+    """conv_id and sequence, after the first turns of ``convs`` (conv_id, own) are exchanged."""
     heads = convs.where(F.col("conv_id") % group == 0).select(F.col("conv_id").alias("base"), F.slice("own", 1, most).alias("head"))
     joined = convs.withColumn("base", F.col("conv_id") - F.col("conv_id") % group).join(heads, "base", "left")
     taken = head_length(F.col("conv_id"), most)
