@@ -17,6 +17,7 @@ then are not compared again.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -194,11 +195,34 @@ def connect(sets: list[np.ndarray], pct: int, labels: np.ndarray, asking: np.nda
     return forest.roots(np.arange(len(sets)))
 
 
-def _by_part(rows: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
-    """Apply ``work`` to the rows of each key; the rows of a key stream through one task."""
+@dataclass
+class _Held:
+    """What is kept of some rows of a part: their sets, not their texts."""
+
+    node: np.ndarray
+    sets: list[np.ndarray]
+    label: np.ndarray
+    asking: np.ndarray
+
+
+def _held(rows: pa.RecordBatch, k: int) -> Iterator[_Held]:
+    """The rows whose text has the wanted set (a doc_id may stand for several texts), TEXTS at a time."""
+    for at in range(0, rows.num_rows, TEXTS):
+        some = rows.slice(at, TEXTS)
+        node = some.column("node").to_numpy()
+        sets = shingle_sets(some.column("text").to_pylist(), k)
+        right = np.flatnonzero(np.array([_node(tokens) for tokens in sets]) == node)
+        labels, asking = np.zeros(len(node), np.int64), np.ones(len(node), bool)
+        if "label" in some.schema.names:
+            labels, asking = some.column("label").to_numpy(), some.column("asking").to_numpy(zero_copy_only=False)
+        yield _Held(node[right], [sets[place] for place in right], labels[right], asking[right])
+
+
+def _by_part(rows: DataFrame, keys: list[str], schema: str, k: int, work: Callable[[list[_Held]], pa.RecordBatch]) -> DataFrame:
+    """Apply ``work`` to the sets of each key; the texts of a key stream through one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[_Held] = []
         current = None
         for batch in batches:
             if not batch.num_rows:
@@ -208,34 +232,34 @@ def _by_part(rows: DataFrame, keys: list[str], schema: str, work: Callable[[pa.T
             for first, last in zip([0, *edges], [*edges, batch.num_rows]):
                 key = tuple(values[:, first].tolist())
                 if key != current and held:
-                    yield work(pa.Table.from_batches(held))
+                    yield work(held)
                     held = []
                 current = key
-                held.append(batch.slice(first, last - first))
+                held.extend(_held(batch.slice(first, last - first), k))
         if held:
-            yield work(pa.Table.from_batches(held))
+            yield work(held)
 
     # Of a node's rows in a part, the one that asks comes first.
     order = [*keys, "node", *([F.desc("asking")] if "asking" in rows.columns else [])]
     return rows.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def _labelled(pct: int, k: int, group: int) -> Callable[[pa.Table], pa.RecordBatch]:
-    """node, family, part, label: label is the smallest node each is connected with."""
+def _labelled(pct: int, group: int, own_labels: bool = False) -> Callable[[list[_Held]], pa.RecordBatch]:
+    """node, label: label is the smallest node each is connected with.
+
+    With ``own_labels`` nodes of one label are connected already, and only asking ones look for links.
+    """
 
-    def work(rows: pa.Table) -> pa.RecordBatch:
-        node = rows.column("node").to_numpy()
-        texts = rows.column("text").to_pylist()
-        sets = [tokens for at in range(0, len(texts), TEXTS) for tokens in shingle_sets(texts[at : at + TEXTS], k)]
-        # A doc_id may stand for several texts: only those of the wanted set count.
-        right = np.array([_node(tokens) for tokens in sets]) == node
-        _, first = np.unique(np.where(right, node, 0), return_index=True)
-        chosen = np.sort(first[right[first]])
+    def work(held: list[_Held]) -> pa.RecordBatch:
+        node = np.concatenate([some.node for some in held])
+        sets = [tokens for some in held for tokens in some.sets]
+        # Of a node's rows the first one counts: if any asks, that does.
+        chosen = np.sort(np.unique(node, return_index=True)[1])
         node, sets = node[chosen], [sets[at] for at in chosen]
         labels, asking = np.arange(len(sets)), np.arange(len(sets))
-        if "label" in rows.schema.names:
-            labels = rows.column("label").to_numpy()[chosen]
-            asking = np.flatnonzero(rows.column("asking").to_numpy(zero_copy_only=False)[chosen])
+        if own_labels:
+            labels = np.concatenate([some.label for some in held])[chosen]
+            asking = np.flatnonzero(np.concatenate([some.asking for some in held])[chosen])
         found = connect(sets, pct, labels, asking, group) if sets else np.zeros(0, np.int64)
         least = np.full(len(sets), np.iinfo(np.int64).max)
         np.minimum.at(least, found, node)
@@ -275,7 +299,7 @@ def _joined(docs: DataFrame, k: int, pct: int, group: int, part: int, hubs: int)
     read = texts.join(wanted.hint("shuffle_hash"), same).select("node", "n", "family", "parts", "part", "text")
     read = staged(read, "family-texts", settle=True)
     schema = "node long, label long"
-    local = staged(_by_part(read, ["family", "part"], schema, _labelled(pct, k, group)), "part-labels", settle=True)
+    local = staged(_by_part(read, ["family", "part"], schema, k, _labelled(pct, group)), "part-labels", settle=True)
     labels = local
     if not sizes.where("parts > 1").isEmpty():
         labels = _across_parts(read, local, pct, k, group, part, hubs)
@@ -303,7 +327,7 @@ def _across_parts(
     ranked = held.select("node", "family", "part", "label").withColumn("size", size).withColumn("rank", F.row_number().over(by_size))
     chosen = ranked.where(F.col("rank") <= hubs).select("node")
     meeting = held.join(chosen, "node", "left_semi").withColumns({"part": F.lit(0).cast("long"), "asking": F.lit(True)})
-    met = _by_part(meeting, ["family", "part"], schema, _labelled(pct, k, group))
+    met = _by_part(meeting, ["family", "part"], schema, k, _labelled(pct, group, own_labels=True))
     joined = met.select(F.col("node"), F.col("label").alias("other")).join(local, "node")
     first = staged(_merged(local, joined), "hub-labels")
     # Blocks of the nodes outside their family's largest component meet all parts of the family.
@@ -321,7 +345,7 @@ def _across_parts(
     everyone = staying.withColumn("asking", F.lit(False)).unionByName(visiting.withColumn("asking", F.lit(True)))
     checked = _by_part(
         everyone.select("family", "part", "block", "node", "text", "label", "asking"),
-        ["family", "part", "block"], schema, _labelled(pct, k, group),
+        ["family", "part", "block"], schema, k, _labelled(pct, group, own_labels=True),
     )
     found = checked.select("node", F.col("label").alias("other")).distinct().join(first, "node")
     return staged(_merged(first, found), "across-labels", settle=True)

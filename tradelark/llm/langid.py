@@ -189,16 +189,16 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> Da
     model knows no language. Columns of these names are replaced; each row is judged alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string", "score double"])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            named, scores = shared.value.predict(batch.column(text).to_pylist())
-            made = [pa.array(named, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "lang_pred", "score"])
+    # Only the text goes to the Python workers, and only the verdict comes back.
+    @F.arrow_udf("lang_pred string, score double")
+    def judge(texts: pa.Array) -> pa.Array:
+        named, scores = shared.value.predict(texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(named, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return kept.mapInArrow(judge, schema)
+    kept = [F.col(f"`{name}`") for name in docs.drop("lang_pred", "score").columns]
+    judged = docs.select(*kept, judge(F.col(text)).alias("_judged_"))
+    return judged.select(*kept, "_judged_.lang_pred", "_judged_.score")
 
 
 def remainder(doc_id: Column, parts: int) -> Column:
