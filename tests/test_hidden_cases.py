@@ -148,3 +148,35 @@ def test_shared_tables_are_made_once(spark, tmp_path, monkeypatch):
             run._report(report, pick(table))
     assert sorted(made) == [("category_performance", False), ("monthly_performance", False), ("seller_performance", False)]
     assert (tmp_path / "reports" / "top_sellers").is_dir()
+
+
+def test_cohorts_over_more_months_than_a_number_has_bits(spark):
+    """Against sets of months; purchases lie up to 41 years apart, some of them before 1970."""
+    draw = random.Random(5)
+    customers = [(f"c{at}", f"b{at % 23}" if at % 10 else None, "x", "SP") for at in range(60)]
+    bought = [f"{draw.randrange(1960, 2001)}-{draw.randrange(1, 13):02d}-{draw.randrange(1, 28):02d}" for _ in range(400)]
+    orders = [order(f"o{at}", f"c{draw.randrange(60)}", bought=day if at % 15 else None) for at, day in enumerate(bought)]
+    months = {}
+    for _, customer, _, day, *_ in orders:
+        buyer = customers[int(customer[1:])][1]
+        if day and buyer:
+            months.setdefault(buyer, set()).add(day.date().replace(day=1))
+    wanted = {
+        (buyer, min(found), month, (month.year - min(found).year) * 12 + month.month - min(found).month)
+        for buyer, found in months.items()
+        for month in found
+    }
+    tables = cleaning.clean_market(market(spark, orders=orders, customers=customers))
+    rows = [tuple(row) for row in cohort.cohort_activity(tables).collect()]
+    assert len(rows) == len(wanted) and set(rows) == wanted and max(row[3] for row in rows) > 64
+
+
+def test_a_buyers_months_that_do_not_fit_are_an_error(spark):
+    def activity(last, words):
+        orders = [order("o1", "c1", bought="2000-01-05"), order("o2", "c1", bought=last)]
+        return cohort.cohort_activity(cleaning.clean_market(market(spark, orders=orders, customers=[("c1", "b1", "x", "SP")])), words=words)
+
+    assert [row.cohort_index for row in activity("2005-04-01", 1).collect()] == [0, 63]
+    with pytest.raises(Exception, match="pass more words"):
+        activity("2005-05-01", 1).collect()
+    assert sorted(row.cohort_index for row in activity("2005-05-01", 2).collect()) == [0, 64]

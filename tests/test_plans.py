@@ -8,7 +8,7 @@ import pytest
 
 from checks.compare import sorted_rows
 from tests.helpers import market, order
-from tradelark.operators import cleaning, headline, master, performance, seller
+from tradelark.operators import cleaning, cohort, headline, master, performance, seller
 from tradelark.plans.catalog import catalog
 from tradelark.sources.tpch import load_market
 
@@ -145,3 +145,10 @@ def test_orders_are_summed_per_customer_before_they_meet_their_buyer(spark, name
     for at in joins:
         child = next(line for line in lines[at + 1 :] if not re.search(r"[:+\- ]*(Project|Filter)", line.split("[")[0].split("(")[0]))
         assert "Aggregate [customer_id" in child, child
+
+
+@pytest.mark.parametrize("make", [cohort.cohort_activity, lambda m: cohort.cohort_retention(cohort.cohort_activity(m))])
+def test_cohorts_aggregate_numbers_of_fixed_width(spark, make):
+    clean = cleaning.clean_market(market(spark, customers=[("c", "b", "x", "SP")], orders=[order("o1", "c")]))
+    plan = make(clean)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan

@@ -4,28 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelark.functions.clock import month_start, months_apart, year_month
+from tradelark.functions.clock import year_month
 from tradelark.functions.numbers import percent
 from tradelark.market import Market
 from tradelark.operators.cleaning import PURCHASED
 from tradelark.operators.master import BUYER, completed_market, with_buyer
 
+# Numbers of 64 bits that hold a buyer's months: 42 years between the first and the last purchase.
+WORDS = 8
 
-def cohort_activity(market: Market) -> DataFrame:
-    """Per known buyer and month with a purchase: the buyer's first month and the distance to it."""
+
+def _month_number(moment: Column) -> Column:
+    """Months since the year 0."""
+    return F.year(moment) * 12 + F.month(moment) - 1
+
+
+def _month_of(number: Column) -> Column:
+    """The first day of a numbered month."""
+    return F.make_date(F.floor(number / 12).cast("int"), F.pmod(number, F.lit(12)) + 1, F.lit(1))
+
+
+def cohort_activity(market: Market, *, words: int = WORDS) -> DataFrame:
+    """Per known buyer and month with a purchase: the buyer's first month and the distance to it.
+
+    A buyer's months are bits of ``words`` numbers, a ring of 64 * words months. Together with
+    the first month every bit stands for one month, as long as the buyer's last month
+    is less than a ring away from it; a longer stretch is an error, never a lost month.
+    """
+    ring = 64 * words
     orders = completed_market(market).orders
     # The months of each customer id meet its buyer once, however many orders it has.
-    months = orders.select("customer_id", month_start(F.col(PURCHASED)).alias("month")).distinct()
-    facts = with_buyer(months, market.customers, "drop").where(F.col(BUYER).isNotNull())
-    # One aggregation gives both the months and the first one. A buyer's set holds
-    # at most one entry per calendar month.
-    buyers = facts.groupBy(BUYER).agg(F.collect_set("month").alias("months"))
-    return buyers.select(
-        BUYER, F.array_min("months").alias("cohort_month"), F.explode("months").alias("purchase_month")
-    ).withColumn("cohort_index", months_apart(F.col("purchase_month"), F.col("cohort_month")))
+    months = orders.select("customer_id", _month_number(F.col(PURCHASED)).alias("month")).distinct()
+    facts = with_buyer(months, market.customers, "drop").where(F.col(BUYER).isNotNull() & F.col("month").isNotNull())
+    place = F.pmod(F.col("month"), F.lit(ring))
+    bit = F.expr("shiftleft(1L, place % 64)")
+    masks = [F.bit_or(F.when(F.floor(F.col("place") / 64) == at, bit).otherwise(F.lit(0))).alias(f"mask_{at}") for at in range(words)]
+    # Numbers of fixed width only: a hash aggregate, combined before the shuffle.
+    buyers = facts.withColumn("place", place).groupBy(BUYER).agg(F.min("month").alias("first"), F.max("month").alias("last"), *masks)
+    last = F.when(F.col("last") - F.col("first") < ring, F.col("last")).otherwise(
+        F.raise_error(F.lit(f"a buyer's purchases span {ring} months or more: pass more words")).cast("int")
+    )
+    every = buyers.select(BUYER, "first", F.array(*[f"mask_{at}" for at in range(words)]).alias("masks"), F.explode(F.sequence("first", last)).alias("month"))
+    bought = F.getbit(F.get("masks", F.floor(place / 64).cast("int")), F.pmod(F.col("month"), F.lit(64))) == 1
+    return every.where(bought).select(
+        BUYER,
+        _month_of(F.col("first")).alias("cohort_month"),
+        _month_of(F.col("month")).alias("purchase_month"),
+        (F.col("month") - F.col("first")).alias("cohort_index"),
+    )
 
 
 def cohort_retention(activity: DataFrame) -> DataFrame:
