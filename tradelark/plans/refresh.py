@@ -2,8 +2,8 @@
 
 Raw CSV -> profiles and checks -> clean tables -> one row per order -> reports.
 Clean tables, the order table, the buyer base and the month, category and seller tables
-are written once; the lists and summaries made of them read them back. The other reports
-each aggregate the clean tables on their own. A lost executor costs at most the step it
+are written once; the lists and summaries made of them read them back. Their checks are
+gathered while they are written (``plans.measures``). The other reports each aggregate the clean tables on their own. A lost executor costs at most the step it
 was working on.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tradelark.contract import TABLES
 from tradelark.market import Market
 from tradelark.operators import audit, category, cleaning, cohort, headline, master, payment, performance, rfm, seller
+from tradelark.plans import measures
+from tradelark.plans.measures import Measured, Numbers
 from tradelark.sources.buckets import Layout, bucket_count, replace_partitions, write_bucketed
 from tradelark.sources.files import read_csv_market, write_table
 
@@ -37,18 +39,25 @@ class Refresh:
         self.report_format = report_format
         self.buckets = buckets
 
-    def _stored(self, section: str, name: str, frame: DataFrame) -> DataFrame:
+    def _stored(self, section: str, name: str, frame: DataFrame, *, without: str | None = None, measured: Measured | None = None) -> DataFrame:
+        """Write a table, without a column that only its measures need."""
         path = f"{self.out}/{section}/{name}"
-        write_table(frame, path)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        kept = frame.drop(without) if without else frame
+        write_table((measured.on(frame).select(*kept.columns) if measured else kept), path)
+        return self.spark.read.schema(kept.schema).parquet(path)
 
     def layout(self, table: str) -> Layout:
         """How a clean table by order is stored; orders are also stored by month."""
         partition = cleaning.MONTH if table == "orders" else None
         return Layout("order_id", self.buckets or 1, partition, BY_ORDER[table])
 
-    def _stored_by_order(self, table: str, frame: DataFrame) -> DataFrame:
-        return write_bucketed(frame, f"{self.out}/clean/{table}", self.layout(table))
+    def _clean_table(self, table: str, frame: DataFrame) -> tuple[DataFrame, Numbers]:
+        measured = measures.clean_measures(table, frame)
+        if table in BY_ORDER:
+            written = write_bucketed(frame, f"{self.out}/clean/{table}", self.layout(table), last=measured.on)
+        else:
+            written = self._stored("clean", table, frame, measured=measured)
+        return written, measured.numbers(written)
 
     def _report(self, name: str, frame: DataFrame) -> None:
         write_table(frame, f"{self.out}/reports/{name}", self.report_format)
@@ -79,22 +88,32 @@ class Refresh:
     def clean(self, raw: Market) -> Market:
         """Write the clean tables and return the market that reads them."""
         derived = cleaning.clean_market(raw)
-        stored = Market(**{
-            name: self._stored_by_order(name, getattr(derived, name)) if name in BY_ORDER else self._stored("clean", name, getattr(derived, name))
-            for name in TABLES
-        })
-        self._stored("clean", "geolocation_lookup", cleaning.geo_lookup(stored.geolocation))
-        self._report("contract_check", audit.contract_check(stored))
-        self._report("cleaning_summary", cleaning.cleaning_summary(stored))
+        written = {name: self._clean_table(name, getattr(derived, name)) for name in TABLES}
+        stored = Market(**{name: table for name, (table, _) in written.items()})
+        numbers = {name: found for name, (_, found) in written.items()}
+        located = Measured({})
+        lookup = self._stored("clean", "geolocation_lookup", cleaning.geo_lookup(stored.geolocation), measured=located)
+        types = {name: dict(table.dtypes) for name, table in stored.tables().items()}
+        self._report("contract_check", measures.contract_rows(self.spark, types, numbers))
+        self._report("cleaning_summary", measures.cleaning_rows(self.spark, numbers, located.numbers(lookup)["rows"]))
         return stored
 
     def replace_months(self, clean_orders: DataFrame) -> None:
         """Put cleaned orders in place of the months they were bought in; all orders of these months must be given."""
         replace_partitions(clean_orders, f"{self.out}/clean/orders", self.layout("orders"))
 
+    def order_table(self, clean: Market) -> DataFrame:
+        """Write the table of one row per order and its validation."""
+        # Orders are counted where they are read, which is a count of the files' footers.
+        given = {"rows": clean.orders.count()}
+        built = master.order_master(clean.having(orders=measures.numbered(clean.orders)))
+        measured = measures.master_measures()
+        orders = self._stored("master", "order_analysis", built, without=measures.NUMBER, measured=measured)
+        self._report("master_validation", measures.validation_row(self.spark, given, measured.numbers(measures.numbered(orders))))
+        return orders
+
     def reports(self, clean: Market) -> None:
-        orders = self._stored("master", "order_analysis", master.order_master(clean))
-        self._report("master_validation", master.master_validation(clean.orders, orders))
+        self.order_table(clean)
         base = self._stored("master", "rfm_base", rfm.rfm_base(clean))
         segments = self._stored("master", "customer_rfm", rfm.rfm_segments(rfm.rfm_scores(base)))
         self._report("customer_rfm", segments)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -81,12 +81,17 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def write_bucketed(frame: DataFrame, path: str, layout: Layout) -> DataFrame:
-    """Write the table anew and return it as ``open_bucketed`` does."""
+def write_bucketed(
+    frame: DataFrame, path: str, layout: Layout, *, last: Callable[[DataFrame], DataFrame] = lambda dealt: dealt
+) -> DataFrame:
+    """Write the table anew and return it as ``open_bucketed`` does.
+
+    ``last`` sees the rows where they are written, after they were dealt to their buckets.
+    """
     spark, schema = frame.sparkSession, frame.schema
     name = _table_name(path)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    writer = layout.dealt(frame).write.mode("overwrite").format("parquet").option("path", path)
+    writer = last(layout.dealt(frame)).write.mode("overwrite").format("parquet").option("path", path)
     writer = writer.bucketBy(layout.buckets, layout.key).sortBy(layout.key)
     if layout.partition:
         writer = writer.partitionBy(layout.partition)
