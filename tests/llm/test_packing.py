@@ -84,6 +84,22 @@ def test_whole_table_needs_the_fewest_sequences(spark, small):
     rows = [(row.doc_id, row.text) for row in docs.collect()]
     used, bound = check(rows, packed, packing.LENGTH)
     assert used == bound
+    made = spark.createDataFrame([(row.length, row.sequence_id) for row in packed], "length long, sequence_id long")
+    assert tuple(packing.certificate(made).first()) == (used, bound, 0)
+
+
+def test_small_windows_go_on_until_no_round_saves(spark, small):
+    """Windows of 8,192 tokens: many groups miss their bound, as over a large table."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    packed = packing.pack_documents(docs, tokenizer_path(), window=8192)
+    used, bound, above = packing.certificate(packed).first()
+    assert used == bound + above and above <= bound * 0.05
+
+
+def test_certificate_sees_what_no_packing_can_save(spark):
+    packed = spark.createDataFrame([(7, at) for at in range(4)] + [(1, 9)], "length long, sequence_id long")
+    assert tuple(packing.certificate(packed, 12).first()) == (5, 4, 1)
+    assert tuple(packing.certificate(packed.limit(0), 12).first()) == (0, 0, 0)
 
 
 def test_empty_table(spark):

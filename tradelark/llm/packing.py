@@ -4,8 +4,9 @@ Documents are packed where they are read: each task fills windows of a bounded n
 tokens by best-fit decreasing. Dual feasible functions give a lower bound of the sequences
 that a window's pieces need; a window that meets its bound is certified. The open
 sequences of all other windows, and the emptiest one of each certified window, go into a
-pool. Groups of pooled sequences exchange their pieces, are packed anew and certified the
-same way, in fewer and fewer groups while any of them misses its bound.
+pool. Groups of pooled sequences, of a window's tokens each, exchange their pieces, are
+packed anew and certified the same way, dealt differently in every round, until no group
+misses its bound, one group holds all, or a round saves no sequence.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from tradelark.plans.staging import lasting, staged, workspace
 LENGTH, END = 4096, 1
 # Tokens a task packs together.
 WINDOW = 1 << 23
-ROUNDS = 4
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,15 +51,20 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, offsets
 
 
-def lower_bound(sizes: np.ndarray, capacity: int, most: int = 64) -> int:
+def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+    """Bins that any packing of these sizes needs."""
+    return bound_of_counts(np.bincount(sizes, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int, most: int = 64) -> int:
     """Bins that any packing needs, by two families of dual feasible functions.
 
-    The first counts sizes above capacity - k whole and those below k not at all; the second
+    ``counts`` has the number of pieces of every size from 0 to capacity. The first counts sizes above capacity - k whole and those below k not at all; the second
     rounds size * (k + 1) / capacity down to whole k-ths unless it is whole.
     """
-    if not len(sizes):
+    count = counts.astype(np.int64)
+    if not count.any():
         return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
     weight = count * np.arange(capacity + 1)
     below, weighed = np.cumsum(count), np.cumsum(weight)
     k = np.arange(capacity // 2 + 1)
@@ -159,35 +164,45 @@ def _group_packer(length: int, base: int, *, certify: bool):
     return pack
 
 
-def _repack(pool: DataFrame, length: int, window: int, rounds: int) -> DataFrame:
+def _repack(pool: DataFrame, length: int, window: int) -> DataFrame:
     """window, item, sequence_id, offset of all pooled pieces after the exchange rounds."""
-    tokens = pool.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-tokens // window))
-    done, open_ = None, staged(pool.select(*_PLACED), "packing-pool")
-    for number in range(1, rounds + 1):
+    done, open_, number = None, staged(pool.select(*_PLACED), "packing-pool"), 0
+    while True:
+        number += 1
+        tokens, before = open_.agg(F.sum("length"), F.count_distinct("sequence_id")).first()
+        groups = max(1, -(-(tokens or 0) // window))
         # Pieces of one sequence stay together until they are packed anew.
         dealt = open_.withColumn("group", F.pmod(F.xxhash64(F.col("sequence_id"), F.lit(number)), F.lit(groups)))
         result = staged(
             dealt.groupBy("group").applyInPandas(
-                _group_packer(length, (1 << 62) + (number << 56), certify=groups > 1),
+                _group_packer(length, (1 << 62) + (number << 48), certify=groups > 1),
                 "window long, item long, length long, sequence_id long, offset long, reopened boolean",
             ),
             "packing-round",
         )
-        last = groups == 1 or number == rounds
+        last = groups == 1 or result.agg(F.count_distinct("sequence_id")).first()[0] >= before
         closed = result if last else result.where("NOT reopened")
         done = closed.select(*_PLACED) if done is None else done.unionByName(closed.select(*_PLACED))
         if last:
-            break
+            return done.select("window", "item", "sequence_id", "offset")
         open_ = result.where("reopened").select(*_PLACED)
-        left = open_.agg(F.sum("length")).first()[0] or 0
-        groups = max(1, min(groups // 2, -(-left // window)))
-    return done.select("window", "item", "sequence_id", "offset")
 
 
-def pack_documents(
-    docs: DataFrame, path: str, *, end: int = END, length: int = LENGTH, window: int = WINDOW, rounds: int = ROUNDS
-) -> DataFrame:
+def certificate(packed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """sequences, bound, above: how many sequences there are, and how many more than any packing of these pieces needs.
+
+    One row, from ``packed`` (length, sequence_id). The bound comes from counts per size, of
+    which there are at most ``length``. No piece: all three are 0.
+    """
+    counts = np.zeros(length + 1, np.int64)
+    for size, count in packed.groupBy("length").agg(F.count(F.lit(1))).collect():
+        counts[size] = count
+    bound = F.lit(bound_of_counts(counts, length)).cast("long")
+    sequences = F.count_distinct("sequence_id")
+    return packed.agg(sequences.alias("sequences"), bound.alias("bound"), (sequences - bound).alias("above"))
+
+
+def pack_documents(docs: DataFrame, path: str, *, end: int = END, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """doc_id, piece, start, length, ids, sequence_id, offset of every piece of ``docs`` (doc_id, text).
 
     A document is its ids and the end id; a null or empty text has the end id only. Longer
@@ -199,6 +214,6 @@ def pack_documents(
     closed = pieces.where("NOT reopened").select(*made)
     again = pieces.where("reopened")
     with workspace(docs.sparkSession):
-        anew = lasting(_repack(again, length, window, rounds), "packing-moves")
+        anew = lasting(_repack(again, length, window), "packing-moves")
     moved = again.drop("sequence_id", "offset").join(anew, ["window", "item"])
     return closed.unionByName(moved.select(*made))
