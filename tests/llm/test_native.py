@@ -117,6 +117,26 @@ def test_empty_documents_or_items(spark):
     docs = documents(spark, [(1, "a b c d e f")])
     assert decontaminate.contained_items(docs.limit(0), items).collect() == []
     assert decontaminate.contained_items(docs, items.limit(0)).collect() == []
+
+
+def test_size_classes_have_a_depth_and_a_step_of_their_own(spark):
+    """Whatever a match leaves out, it holds as many sketch hashes as the step of the item's class."""
+    sizes = {1: (1, 1), 4: (1, 1), 8: (2, 3), 10: (2, 4), 64: (3, 15), 100: (3, 23), 600: (4, 124)}  # shingles: step, depth at 80 %
+    items = spark.createDataFrame([(n, " ".join(f"w{n}_{at}" for at in range(n + 4))) for n in sizes], "item_id long, text string")
+    sketches = grouped([(row.item_id, row) for row in decontaminate.item_sketches(items, 80).collect()], 0, 1)
+    for n, (step, depth) in sizes.items():
+        assert {row.step for row in sketches[n]} == {step} and len(sketches[n]) == depth
+        need = (80 * n + 99) // 100
+        assert depth - (n - need) == step and {row.size_class for row in sketches[n]} == {n.bit_length() - 1}
+
+
+def test_a_document_may_consist_of_several_rows(spark):
+    """No row alone holds enough of the item, and the second is shorter than what is needed."""
+    words = [f"w{at}" for at in range(44)]
+    item = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    docs = documents(spark, [(1, " ".join(words[:24])), (1, " ".join(words[20:])), (2, " ".join(words[:24])), (3, " ".join(words[20:]))])
+    found = decontaminate.contained_items(docs, item).collect()
+    assert [(row.doc_id, row.item_id, row.n_shingles, row.n_shared) for row in found] == [(1, 7, 40, 40)]
     assert decontaminate.decontaminate(docs, items).collect() == []
 
 

@@ -1,11 +1,12 @@
 """Benchmark decontamination: MinHash containment search, verified exactly.
 
-Items are partitioned by the size of their shingle set. Containment of at least the
-threshold leaves at most a known number of an item's shingles unmatched, so a document
-that contains the item holds at least one of its k smallest hashes when k is one more
-than that number. The k smallest hashes of each item (its MinHash sketch, of a depth
-fixed by its size) are therefore enough to find every document that qualifies, however
-long it is. Candidates are then counted exactly, on the words themselves.
+Items are partitioned by the size of their shingle set, in powers of two. Every class has
+its own candidate step: how many of an item's sketch hashes a document must hold to be a
+candidate, more for larger items, whose sketches have more frequent shingles. Containment
+of at least the threshold leaves at most a known number of an item's shingles unmatched,
+so of that many smallest hashes and ``step`` more (its MinHash sketch, of a depth fixed by
+size and class) a document that contains the item holds at least ``step``, however long it
+is. Candidates are then counted exactly, on the words themselves.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from tradelark.plans.staging import lasting, staged, workspace
 SHINGLE = 5
 THRESHOLD_PCT = 80
 _WORDS = [f"w{at}" for at in range(SHINGLE)]
+# Sizes of a class double; every so many classes a candidate must hold one hash more.
+CLASSES_PER_STEP = 3
 _GAPS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -36,23 +39,29 @@ def shingles(frame: DataFrame, key: str, text: str) -> DataFrame:
     words = words.select(key, F.concat("words", F.array_repeat(F.lit(""), missing)).alias("words"))
     count = F.size("words") - (SHINGLE - 1)
     columns = [F.slice("words", F.lit(at + 1), count).alias(name) for at, name in enumerate(_WORDS)]
-    return words.select(key, count.alias("n_words"), F.inline(F.arrays_zip(*columns))).withColumn(
+    return words.select(key, F.inline(F.arrays_zip(*columns))).withColumn(
         "hash", F.xxhash64(*_WORDS)
     )
 
 
 def item_sketches(items: DataFrame, threshold_pct: int) -> DataFrame:
-    """item_id, hash, need, size_class: the hashes of each item that a match cannot all miss."""
+    """item_id, hash, need, step, size_class: of each item the hashes of which a match holds ``step`` or more.
+
+    A match holds ``need`` of an item's n hashes, so it misses n - need of any. The step of a
+    class never exceeds what an item needs.
+    """
     distinct = shingles(items, "item_id", "text").select("item_id", "hash").distinct()
     n = F.count("hash").over(Window.partitionBy("item_id"))
-    need = F.expr(f"({threshold_pct} * n + 99) div 100")
+    need = F.expr(f"greatest(({threshold_pct} * n + 99) div 100, 1)")
+    size_class = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     ranked = (
         distinct.withColumn("n", n)
         .withColumn("need", need)
+        .withColumn("size_class", size_class)
+        .withColumn("step", F.expr(f"least(1 + size_class div {CLASSES_PER_STEP}, need)"))
         .withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("hash")))
     )
-    size_class = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
-    return ranked.where("rank <= n - need + 1").select("item_id", "hash", "need", size_class.alias("size_class"))
+    return ranked.where("rank <= n - need + step").select("item_id", "hash", "need", "step", "size_class")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, *, threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
@@ -77,9 +86,12 @@ def _verified(docs: DataFrame, items: DataFrame, threshold_pct: int) -> DataFram
     hits = (
         shingles(docs, "doc_id", "text")
         .join(sketches, "hash")
-        .where("n_words >= need")
-        .select("doc_id", "item_id")
+        .select("doc_id", "item_id", "step", "hash")
         .distinct()
+        .groupBy("doc_id", "item_id", "step")
+        .agg(F.count(F.lit(1)).alias("held"))
+        .where("held >= step")
+        .select("doc_id", "item_id")
     )
     candidates = staged(hits, "contained-candidates")
     wanted = shingles(items, "item_id", "text").select("item_id", "hash", *_WORDS).distinct()
