@@ -8,6 +8,7 @@ from typing import Literal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradelark.functions.bitmaps import counted, numbered_keys, seen
 from tradelark.functions.clock import DayMode
 from tradelark.functions.numbers import percent, total
 from tradelark.market import Market
@@ -113,17 +114,38 @@ def most_late(table: DataFrame, min_orders: int = 100, n: int = 10) -> DataFrame
     return major.orderBy(F.desc_nulls_last("late_delivery_rate"), "seller_id").limit(n)
 
 
-def seller_state_summary(market: Market) -> DataFrame:
-    """Per seller state: sellers, distinct orders, revenue; highest revenue first."""
-    # An order can have several sellers in a state, so orders are counted distinct.
-    lines = _placed(_completed_lines(market), market, "keep").where(F.col("seller_state").isNotNull())
+def seller_state_orders(market: Market, numbers: DataFrame | None = None) -> DataFrame:
+    """seller_state, block, bits: which completed orders sold from a state.
+
+    An order can have several sellers in a state and sellers in several states; it has one bit, so
+    states are merged into larger regions (``functions.bitmaps.merged``) and it still counts once.
+    ``numbers`` are the numbered orders, where they are stored (``refresh``).
+    """
+    if numbers is None:
+        numbers = numbered_keys(market.orders, "order_id")
+    sold = market.order_items.where(F.col("order_id").isNotNull() & F.col("seller_id").isNotNull())
+    done = completed(market.orders.select("order_id", "order_status")).select("order_id")
+    # Repeated rows of an order or of a line set the same bit.
+    lines = sold.select("order_id", "seller_id").distinct().join(done.join(numbers, "order_id"), "order_id")
+    placed = lines.join(market.sellers.select("seller_id", "seller_state"), "seller_id")
+    return seen(placed.where(F.col("seller_state").isNotNull()), ["seller_state"])
+
+
+def seller_state_summary(market: Market, *, orders: DataFrame | None = None) -> DataFrame:
+    """Per seller state: sellers, distinct orders, revenue; highest revenue first.
+
+    Sellers are summed before they meet their state. ``orders`` are the states' bitmaps
+    (``seller_state_orders``), where they are stored.
+    """
+    if orders is None:
+        orders = seller_state_orders(market)
+    sums = _placed(seller_revenue(market), market, "keep").where(F.col("seller_state").isNotNull())
+    states = sums.groupBy("seller_state").agg(
+        F.countDistinct("seller_id").alias("sellers"), total("merchandise_revenue").alias("merchandise_revenue")
+    )
     return (
-        lines.groupBy("seller_state")
-        .agg(
-            F.countDistinct("seller_id").alias("sellers"),
-            F.countDistinct("order_id").alias("orders"),
-            total("merchandise_revenue").alias("merchandise_revenue"),
-        )
+        states.join(counted(orders, ["seller_state"], "orders"), "seller_state")
+        .select("seller_state", "sellers", "orders", "merchandise_revenue")
         .orderBy(F.desc("merchandise_revenue"), "seller_state")
     )
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from tradelark.contract import TABLES
+from tradelark.functions.bitmaps import numbered_keys
 from tradelark.market import Market
 from tradelark.operators import audit, category, cleaning, cohort, headline, master, payment, performance, rfm, seller
 from tradelark.plans import measures
@@ -112,8 +113,19 @@ class Refresh:
         self._report("master_validation", measures.validation_row(self.spark, given, measured.numbers(measures.numbered(orders))))
         return orders
 
+    def order_numbers(self, clean: Market) -> DataFrame:
+        """Write the numbers that stand for orders in mergeable counts, in the buckets of the orders."""
+        layout = Layout("order_id", self.buckets or 1)
+        return write_bucketed(numbered_keys(clean.orders, "order_id", layout.buckets), f"{self.out}/master/order_numbers", layout)
+
+    def state_table(self, clean: Market) -> None:
+        """Write which orders sold from a state, and the report made of it."""
+        sold = self._stored("master", "seller_state_orders", seller.seller_state_orders(clean, self.order_numbers(clean)))
+        self._report("seller_state_summary", seller.seller_state_summary(clean, orders=sold))
+
     def reports(self, clean: Market) -> None:
         self.order_table(clean)
+        self.state_table(clean)
         base = self._stored("master", "rfm_base", rfm.rfm_base(clean))
         segments = self._stored("master", "customer_rfm", rfm.rfm_segments(rfm.rfm_scores(base)))
         self._report("customer_rfm", segments)
@@ -146,7 +158,6 @@ def market_reports() -> Iterator[tuple[str, Callable[[Market], DataFrame]]]:
     yield "payment_method_summary", payment.payment_methods
     yield "installment_summary", payment.installment_groups
     yield "installment_distribution", payment.installment_distribution
-    yield "seller_state_summary", seller.seller_state_summary
     yield "business_kpis_sql", lambda m: headline.business_kpis(
         m, late_policy="as_on_time", unmatched="drop", null_sums="null"
     )
