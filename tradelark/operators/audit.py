@@ -148,9 +148,9 @@ def column_profile(market: Market, *, approx: bool = False) -> DataFrame:
     return _union([summarise(table, frame.select(*data_columns(frame.columns))) for table, frame in tables])
 
 
-def _inventory_row(table: str, ordinal: Column, data_type: Column, rows: Column, missing: Column, unique: Column):
+def inventory_row(table: Column, ordinal: Column, data_type: Column, rows: Column, missing: Column, unique: Column) -> list[Column]:
     return [
-        F.lit(table).alias("table"),
+        table.alias("table"),
         F.col("column"),
         ordinal.alias("ordinal"),
         data_type.alias("data_type"),
@@ -164,7 +164,7 @@ def _counted_columns(table: str, frame: DataFrame) -> DataFrame:
     # One (column, value) row per cell, combined before the shuffle. A COUNT
     # DISTINCT per column would send every row once per column, at full width.
     names = frame.columns
-    cells = frame.select(*[_comparable(name, kind) for name, kind in frame.dtypes]).unpivot([], names, "column", "value")
+    cells = frame.select(*[comparable(name, kind) for name, kind in frame.dtypes]).unpivot([], names, "column", "value")
     values = cells.groupBy("column", "value").agg(F.count("*").alias("n"))
     seen = values.groupBy("column").agg(
         F.sum("n").alias("rows"),
@@ -183,8 +183,8 @@ def _counted_columns(table: str, frame: DataFrame) -> DataFrame:
     )
     zero = F.lit(0).cast("bigint")
     return listed.join(seen, "column", "left").select(
-        *_inventory_row(
-            table,
+        *inventory_row(
+            F.lit(table),
             F.col("ordinal"),
             F.col("data_type"),
             F.coalesce("rows", zero),
@@ -194,7 +194,7 @@ def _counted_columns(table: str, frame: DataFrame) -> DataFrame:
     )
 
 
-def _comparable(name: str, kind: str) -> Column:
+def comparable(name: str, kind: str) -> Column:
     """A value as text. Both signs of zero are one value, and not-a-number is missing."""
     column = F.col(name)
     if kind in ("double", "float"):
@@ -211,16 +211,16 @@ def _sketched_columns(table: str, frame: DataFrame) -> DataFrame:
                     F.lit(at).alias("ordinal"),
                     F.lit(name).alias("column"),
                     F.lit(kind).alias("data_type"),
-                    F.count_if(_comparable(name, kind).isNull()).alias("missing"),
-                    F.approx_count_distinct(_comparable(name, kind)).alias("unique"),
+                    F.count_if(comparable(name, kind).isNull()).alias("missing"),
+                    F.approx_count_distinct(comparable(name, kind)).alias("unique"),
                 )
                 for at, (name, kind) in enumerate(frame.dtypes, start=1)
             ]
         ).alias("facts"),
     ).select("rows", F.inline("facts"))
     return facts.select(
-        *_inventory_row(
-            table, F.col("ordinal"), F.col("data_type"), F.col("rows"), F.col("missing"), F.col("unique")
+        *inventory_row(
+            F.lit(table), F.col("ordinal"), F.col("data_type"), F.col("rows"), F.col("missing"), F.col("unique")
         )
     )
 

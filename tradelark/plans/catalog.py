@@ -20,6 +20,7 @@ from tradelark.operators import (
     cleaning,
     cohort,
     headline,
+    inventory,
     master,
     payment,
     performance,
@@ -111,11 +112,19 @@ def _matrix(clean: Market) -> DataFrame:
     return cohort.cohort_matrix(_retention(clean), cohort.indexes_possible(clean.orders))
 
 
+def _profile_of_parts(raw: Market) -> DataFrame:
+    """Orders by month of purchase, all other tables whole; counts up to 65,536 are exact."""
+    month = F.date_format("order_purchase_timestamp", "yyyy-MM")
+    kept = staged(inventory.table_sketches(raw.tables(), {"orders": month}, size_log=16), "sketches")
+    return inventory.merged_profile(kept, raw.tables(), size_log=16)
+
+
 # Operators on the tables as they come in.
 RAW: dict[str, Callable[[Market], DataFrame]] = {
     "contract_check": audit.contract_check,
     "table_profile": audit.table_profile,
     "column_profile": audit.column_profile,
+    "column_profile_parts": _profile_of_parts,
     "key_check": audit.key_checks,
     "identity_summary": lambda m: audit.identity_summary(m.customers),
     "top_identities": lambda m: audit.top_identities(m.customers),

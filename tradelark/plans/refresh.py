@@ -12,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tradelark.contract import TABLES
 from tradelark.functions.bitmaps import numbered_keys
 from tradelark.market import Market
-from tradelark.operators import audit, category, cleaning, cohort, headline, master, payment, performance, rfm, seller
+from tradelark.operators import audit, category, cleaning, cohort, headline, inventory, master, payment, performance, rfm, seller
 from tradelark.plans import measures
 from tradelark.plans.measures import Measured, Numbers
 from tradelark.sources.buckets import Layout, bucket_count, replace_partitions, write_bucketed
@@ -100,8 +101,22 @@ class Refresh:
         return stored
 
     def replace_months(self, clean_orders: DataFrame) -> None:
-        """Put cleaned orders in place of the months they were bought in; all orders of these months must be given."""
+        """Put cleaned orders in place of the months they were bought in; all orders of these months must be given.
+
+        The column profile follows: only these months are sketched again.
+        """
         replace_partitions(clean_orders, f"{self.out}/clean/orders", self.layout("orders"))
+        self.sketch({"orders": clean_orders})
+
+    def sketch(self, tables: Mapping[str, DataFrame]) -> None:
+        """Keep the column sketches of these tables, of orders by month."""
+        made = inventory.table_sketches(tables, {"orders": F.col(cleaning.MONTH)})
+        inventory.store_sketches(made, f"{self.out}/master/column_sketches")
+
+    def column_profile(self, clean: Market) -> DataFrame:
+        """The profile of the clean tables from their kept sketches; no table is read."""
+        kept = inventory.stored_sketches(self.spark, f"{self.out}/master/column_sketches")
+        return inventory.merged_profile(kept, clean.tables())
 
     def order_table(self, clean: Market) -> DataFrame:
         """Write the table of one row per order and its validation."""
@@ -126,6 +141,8 @@ class Refresh:
     def reports(self, clean: Market) -> None:
         self.order_table(clean)
         self.state_table(clean)
+        self.sketch(clean.tables())
+        self._report("clean_column_inventory", self.column_profile(clean))
         base = self._stored("master", "rfm_base", rfm.rfm_base(clean))
         segments = self._stored("master", "customer_rfm", rfm.rfm_segments(rfm.rfm_scores(base)))
         self._report("customer_rfm", segments)
