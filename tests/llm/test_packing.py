@@ -78,6 +78,19 @@ def test_pieces_of_all_rows(spark, window):
     assert used <= bound * 1.05 + 2
 
 
+@pytest.mark.parametrize("kind", ["decimal(20,0)", "int", "string", "binary", "timestamp_ntz"])
+def test_ids_of_any_type_and_short_windows(spark, kind):
+    """Many almost empty documents: windows end by their number of pieces."""
+    rows = [(at, "" if at % 3 else sentence(at, 4)) for at in range(90)]
+    number = "CAST(doc_id AS string)" if kind == "binary" else "TIMESTAMP_NTZ'2020-01-01' + make_dt_interval(CAST(doc_id AS int))" if kind == "timestamp_ntz" else "doc_id"
+    docs = documents(spark, rows).selectExpr(f"CAST({number} AS {kind}) AS doc_id", "text")
+    packed = packing.pack_documents(docs, tokenizer_path(), length=16, most=7)
+    assert packed.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted(map(str, (row.doc_id for row in packed.where("piece = 0").collect()))) == sorted(map(str, (row.doc_id for row in docs.collect())))
+    used, bound, _ = packing.certificate(packed, 16).first()
+    assert used <= bound * 1.1 + 1
+
+
 def test_whole_table_needs_the_fewest_sequences(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     packed = packing.pack_documents(docs, tokenizer_path()).collect()

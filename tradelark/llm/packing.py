@@ -24,8 +24,8 @@ from tradelark.llm.tokens import encoder
 from tradelark.plans.staging import lasting, staged, workspace
 
 LENGTH, END = 4096, 1
-# Tokens a task packs together.
-WINDOW = 1 << 23
+# Tokens a task packs together, and pieces, where they are short.
+WINDOW, WINDOW_PIECES = 1 << 23, 1 << 20
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +95,12 @@ def _cut(ids: bytes, length: int) -> list[bytes]:
     return [ids[at : at + 4 * length] for at in range(0, len(ids), 4 * length)]
 
 
-def _packed(docs: DataFrame, path: str, end: int, length: int, window: int) -> DataFrame:
-    """Pieces of all documents, placed within their window."""
+def _packed(docs: DataFrame, path: str, end: int, length: int, window: int, most: int) -> DataFrame:
+    """Pieces of all documents, placed within their window, which holds ``most`` of them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     tail = int(end).to_bytes(4, "little")
 
-    def placed(rows: list[tuple], number: int) -> Iterator[pa.RecordBatch]:
+    def placed(rows: list[tuple], number: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(ids) // 4 for _, _, ids in rows], dtype=np.int64)
         bins, offsets = best_fit_decreasing(sizes, length)
         reopened = _open(bins, sizes, length)
@@ -121,21 +121,20 @@ def _packed(docs: DataFrame, path: str, end: int, length: int, window: int) -> D
                 "reopened": pa.array(reopened[span]),
             })
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number = encoder(path), TaskContext.get().partitionId() << 16
         rows, held = [], 0
         for batch in batches:
+            id_type = batch.schema.field("doc_id").type
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 for piece, ids in enumerate(_cut(own.encode(text) + tail, length)):
-                    if held + len(ids) // 4 > window and rows:
-                        yield from placed(rows, number)
+                    if rows and (held + len(ids) // 4 > window or len(rows) >= most):
+                        yield from placed(rows, number, id_type)
                         rows, held, number = [], 0, number + 1
                     rows.append((doc_id, piece, ids))
                     held += len(ids) // 4
         if rows:
-            yield from placed(rows, number)
+            yield from placed(rows, number, id_type)
 
     return docs.select("doc_id", "text").mapInArrow(
         pack,
@@ -202,14 +201,15 @@ def certificate(packed: DataFrame, length: int = LENGTH) -> DataFrame:
     return packed.agg(sequences.alias("sequences"), bound.alias("bound"), (sequences - bound).alias("above"))
 
 
-def pack_documents(docs: DataFrame, path: str, *, end: int = END, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, *, end: int = END, length: int = LENGTH, window: int = WINDOW, most: int = WINDOW_PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids, sequence_id, offset of every piece of ``docs`` (doc_id, text).
 
     A document is its ids and the end id; a null or empty text has the end id only. Longer
-    ones are cut after every ``length`` ids. ids is binary (little-endian 32 bits). Rows that
-    share an id are packed each; other columns are ignored; an empty table gives no rows.
+    ones are cut after every ``length`` ids. ids is binary (little-endian 32 bits). Ids of
+    documents may have any type that Arrow batches carry. A task packs up to ``window`` tokens and ``most`` pieces together; what that
+    costs, the rounds between windows win back. Rows that share an id are packed each; other columns are ignored; an empty table gives no rows.
     """
-    pieces = staged(_packed(docs, path, end, length, window), "packed-pieces")
+    pieces = staged(_packed(docs, path, end, length, window, most), "packed-pieces")
     made = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
     closed = pieces.where("NOT reopened").select(*made)
     again = pieces.where("reopened")
