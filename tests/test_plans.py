@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal as D
 
 import pytest
 
 from checks.compare import sorted_rows
 from tests.helpers import market, order
-from tradelark.operators import cleaning, cohort, headline, master, performance, seller
+from tradelark.operators import category, cleaning, cohort, headline, master, performance, seller
 from tradelark.plans.catalog import catalog
 from tradelark.sources.tpch import load_market
 
@@ -152,3 +153,32 @@ def test_cohorts_aggregate_numbers_of_fixed_width(spark, make):
     clean = cleaning.clean_market(market(spark, customers=[("c", "b", "x", "SP")], orders=[order("o1", "c")]))
     plan = make(clean)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
+def test_products_of_an_order_are_not_counted_in_the_tasks_of_the_join(spark, small):
+    plan = executed(QUERIES["order_category"](spark, small))
+    counted = plan[plan.index("partial_count(distinct") :]
+    before_join = counted[: re.search("(Hash|Merge)Join", counted).start()]
+    # Dealt by all that is counted, and not gathered again into fewer, larger tasks.
+    assert re.search(r"Exchange hashpartitioning\(order_id#\w+, product_category_name_english#\w+, product_id#\w+, 4\), REPARTITION_BY_NUM", before_join)
+
+
+def test_counted_products_of_repeated_and_missing_rows(spark):
+    items = [("o1", at, product, D("1.00"), D("0.50")) for at, product in enumerate(["p1", "p1", "p2", None, "p3", None])]
+    items += [("hot", at, f"p{at % 7}", D("1.00"), None) for at in range(200)] + [(None, 1, "p1", D("1.00"), None)]
+    shop = market(spark).having(
+        order_items=spark.createDataFrame(items, "order_id string, order_item_id int, product_id string, price decimal(18,2), freight_value decimal(18,2)"),
+        # p2 is there twice, p3 in two categories, p4 to p6 are not there at all.
+        products=spark.createDataFrame(
+            [("p0", "a"), ("p1", "a"), ("p2", "a"), ("p2", "a"), ("p3", "a"), ("p3", "b"), (None, "c")], "product_id string, product_category_name_english string"
+        ),
+    )
+    found = {(row[0], row[1]): (row.units_sold, row.merchandise_revenue, row.freight_value, row.unique_products) for row in category.order_category(shop).collect()}
+    assert found == {
+        ("o1", "a"): (5, D("5.00"), D("2.50"), 3),
+        ("o1", "b"): (1, D("1.00"), D("0.50"), 1),
+        ("o1", "unknown"): (2, D("2.00"), D("1.00"), 0),
+        ("hot", "a"): (29 + 29 + 58 + 29, D("145.00"), D("0.00"), 4),
+        ("hot", "b"): (29, D("29.00"), D("0.00"), 1),
+        ("hot", "unknown"): (28 * 3, D("84.00"), D("0.00"), 3),
+    }
