@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -40,6 +41,23 @@ def test_codes_round_trip(values):
     assert tokens.unpack_numbers(control, data, len(values)).tolist() == values
 
 
+def test_codes_are_worked_out_in_bytes():
+    values = np.arange(400_000, dtype="<u4") * 11 % 100_003
+    control, data = tokens.pack_numbers(values[:8])
+    tokens.unpack_numbers(control, data, 8)
+    tracemalloc.start()
+    control, data = tokens.pack_numbers(values)
+    packing = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    found = tokens.unpack_numbers(control, data, len(values))
+    unpacking = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert (found == values).all()
+    # Lengths as 64-bit numbers take more than twice as much, and the time to fill it.
+    assert packing < 20 * len(values) and unpacking < 12 * len(values)
+
+
 def plain(rows, end=2):
     own = tokens.encoder(tokenizer_path()).tokenizer
     start, found = 0, []

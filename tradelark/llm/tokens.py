@@ -38,7 +38,7 @@ _ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 # Characters whose normal form is themselves and whose lower case is one letter.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-į \t\n\r\x0b\x0c]+")
 # The tokenizer's own pattern, for lower-case text of those characters.
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-į]+|[0-9]|[^a-z0-9ß-öø-į \t\n\r\x0b\x0c]+")
+_PARTS = re.compile("[a-zß-öø-į]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9ß-öø-į \t\n\r\x0b\x0c]+")
 
 
 class _Kept(dict):
@@ -64,6 +64,7 @@ class Encoder:
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.split_words = split_words
         visible = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.packed = _Kept(struct.Struct("<I").pack)
         self.letters = _Kept(lambda char: visible.pre_tokenize_str(char)[0][0])
         self.chunks = _Kept(self._chunk)
         self.parts = _Kept(self._part)
@@ -73,7 +74,7 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         word = part if part.isascii() else "".join(map(self.letters.__getitem__, part))
-        return struct.pack(f"<{len(found := self.model.tokenize(word))}I", *[token.id for token in found])
+        return b"".join([self.packed[token.id] for token in self.model.tokenize(word)])
 
     def _plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None and not any(token in text for token in self.special)
@@ -156,29 +157,27 @@ def _from_halves(data: bytes) -> np.ndarray:
 
 
 @cache
-def _lengths() -> np.ndarray:
-    """The four lengths that each control byte stands for."""
-    codes = np.arange(256)
-    return np.stack([(codes >> shift & 3) + 1 for shift in (0, 2, 4, 6)], axis=1).astype(np.int64)
+def _stored() -> np.ndarray:
+    """Which of the 16 bytes of four numbers are stored under each control byte."""
+    codes = np.stack([np.arange(256) >> shift & 3 for shift in (0, 2, 4, 6)], axis=1)
+    return (np.arange(4) <= codes[:, :, None]).reshape(256, 16)
 
 
 def pack_numbers(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit numbers; the last group is filled with zeros."""
     padded = np.zeros(-(-len(values) // 4) * 4, dtype="<u4")
     padded[: len(values)] = values
-    lengths = 1 + (padded > 0xFF).astype(np.int64) + (padded > 0xFFFF) + (padded > 0xFFFFFF)
-    groups = (lengths - 1).reshape(-1, 4)
-    control = (groups << np.array([0, 2, 4, 6])).sum(axis=1).astype(np.uint8)
-    every = padded.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), every[np.arange(4) < lengths[:, None]].tobytes()
+    first, second, third, fourth = sum((padded > most).view(np.uint8) for most in (0xFF, 0xFFFF, 0xFFFFFF)).reshape(-1, 4).T
+    control = first | second << 2 | third << 4 | fourth << 6
+    return control.tobytes(), padded.view(np.uint8)[_stored()[control].ravel()].tobytes()
 
 
 def unpack_numbers(control: bytes, data: bytes, count: int) -> np.ndarray:
-    """The numbers again: lengths come from a table look-up of the control bytes."""
-    lengths = _lengths()[np.frombuffer(control, np.uint8)].ravel()
-    every = np.zeros((len(lengths), 4), dtype=np.uint8)
-    every[np.arange(4) < lengths[:, None]] = np.frombuffer(data, np.uint8)
-    return every.view("<u4").ravel()[:count]
+    """The numbers again: the places of their bytes come from a table look-up of the control bytes."""
+    stored = _stored()[np.frombuffer(control, np.uint8)].ravel()
+    every = np.zeros(len(stored), dtype=np.uint8)
+    every[stored] = np.frombuffer(data, np.uint8)
+    return every.view("<u4")[:count]
 
 
 def _encoded_and_counted(docs: DataFrame, path: str, end: int) -> DataFrame:
