@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tradelark.llm import langid
 from tradelark.llm.decontaminate import decontaminate
-from tradelark.llm.dedup import without_passages
+from tradelark.llm.dedup import PASSAGE_WORDS, without_passages
 from tradelark.llm.jaccard import jaccard_components
 from tradelark.llm.packing import pack_documents
 from tradelark.llm.queries import tokenizer_path
@@ -23,8 +23,6 @@ from tradelark.plans.staging import lasting, staged, workspace
 LEAST_LANGUAGE_SCORE = 0.3
 # Near duplicates: five-word shingles, similarity in percent.
 SHINGLE, SIMILAR_PCT = 5, 80
-# A passage that occurs elsewhere goes if it has this many words, or as many bytes as op7 takes.
-PASSAGE_WORDS = 51
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

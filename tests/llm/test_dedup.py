@@ -2,14 +2,16 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests.llm.helpers import documents, edited, sentence, without_repeats
+from tests.llm.helpers import documents, edited, sentence, without_repeats, words
 from tradelark.llm import dedup, suffixes
+from tradelark.llm.queries import QUERIES
 
 
 @settings(max_examples=80, deadline=None)
@@ -101,5 +103,44 @@ def test_whole_table_against_brute_force(spark, small):
     assert found == sorted((row[0], *rest) for row, rest in zip(rows, without_repeats([row[1] for row in rows], dedup.WINDOW)))
 
 
+def without_words(rows, count):
+    """Per row the words that are in no string of ``count`` words that also starts anywhere else."""
+    own = [words(text) for _, text in rows]
+    seen = Counter(tuple(row[at : at + count]) for row in own for at in range(len(row) - count + 1))
+    result = []
+    for row in own:
+        gone = {at + step for at in range(len(row) - count + 1) if seen[tuple(row[at : at + count])] > 1 for step in range(count)}
+        result.append([word for at, word in enumerate(row) if at not in gone])
+    return result
+
+
+@pytest.mark.parametrize("options", [{}, {"shard": 600}, {"most_runs": 1}, {"most_runs": 3, "shard": 200}])
+def test_text_loses_passages_of_words_too(spark, options):
+    rows = corpus() + [(200, sentence(20, 9) + "\n" + sentence(21, 14).upper()), (201, sentence(21, 14).replace(" ", "  ") + " " + sentence(22, 5))]
+    # No string of 5,000 bytes repeats, so the text loses words only.
+    found = dedup.passage_digest(documents(spark, rows).repartition(3), words=12, window=5000, anchor=16, **options).collect()
+    key = lambda row: (row[0] is None, row[0] or 0, row[1])
+    wanted = [(row[0], left) for row, left in zip(rows, without_words(rows, 12))]
+    assert sorted(((row.doc_id, words(row.text)) for row in found), key=key) == sorted(wanted, key=key)
+    assert all(row.n_removed == row.n_spans == 0 for row in found)
+    digests = sorted((hashlib.sha256((text or "").encode()).hexdigest() for _, text in rows))
+    assert sorted(row.kept_sha256 for row in found) == digests
+
+
+def test_query_text_loses_51_words_under_400_bytes(spark, tmp_path):
+    passage = sentence(31, 51)
+    passage = " ".join(word[:6] for word in passage.split())
+    assert len(passage.encode()) < dedup.WINDOW
+    rows = [(at, f"{sentence(40 + at, 30)} {passage} {sentence(60 + at, 30)}") for at in range(3)] + [(9, sentence(80, 200)), (10, None)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {row.doc_id: row for row in QUERIES["op7_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    for at in range(3):
+        assert words(found[at].text) == words(f"{sentence(40 + at, 30)} {sentence(60 + at, 30)}")
+    assert found[9].text == rows[3][1] and found[10].text is None
+    # What the contract fixes goes by strings of 400 bytes alone.
+    wanted = [(row[0], *rest) for row, rest in zip(rows, without_repeats([row[1] for row in rows], dedup.WINDOW))]
+    assert sorted(tuple(row[:5]) for row in found.values()) == wanted and all(row[2] == 0 for row in wanted)
+
+
 def test_empty_table(spark):
     assert dedup.passage_digest(documents(spark, [])).collect() == []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tradelark.llm.align import align_documents
 from tradelark.llm.decontaminate import contained_items
-from tradelark.llm.dedup import passage_digest
+from tradelark.llm.dedup import PASSAGE_WORDS, passage_digest
 from tradelark.llm.jaccard import jaccard_components
 from tradelark.llm.langid import identify_documents
 from tradelark.llm.lm import score_documents
@@ -61,7 +61,7 @@ def token_group_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return passage_digest(_table(spark, folder, "documents"))
+    return passage_digest(_table(spark, folder, "documents"), words=PASSAGE_WORDS)
 
 
 def url_reputation(spark: SparkSession, folder: str) -> DataFrame:
