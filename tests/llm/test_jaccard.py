@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import documents, edited, linked_components, sentence, shingles, words
@@ -75,6 +76,37 @@ def test_components_of_all_rows(spark, k, pct, options):
     assert found == wanted
 
 
+def test_spreads_differ_by_no_more_than_the_sets(monkeypatch):
+    draw = np.random.default_rng(6)
+    for most in (jaccard.MOST_CLASSES, 5):
+        # With few classes counts pass 255.
+        monkeypatch.setattr(jaccard, "MOST_CLASSES", most)
+        ones, twos, wanted = [], [], []
+        for size in (0, 1, 7, 60, 500, 3_000, 30_000):
+            for other in (0, 1, size // 10, size):
+                every = hashing.mixed(draw.integers(0, 1 << 62, size + other).astype(np.uint64))
+                one, two = np.unique(every[:size]), np.unique(every[other // 2 :])
+                ones.append(jaccard._spread(one))
+                twos.append(jaccard._spread(two))
+                wanted.append(len(np.setxor1d(one, two)))
+        found = jaccard.spreads_apart(pa.array(ones, pa.binary()), pa.array(twos, pa.binary()))
+        assert (found <= np.array(wanted)).all() and (found > 0).any()
+
+
+@pytest.mark.parametrize("paired", [jaccard.PAIRED, 1])
+def test_unlike_texts_that_share_rare_shingles(spark, monkeypatch, paired):
+    # Every passage is in two texts: a chain of texts that have a third of their shingles in common.
+    passages = [sentence(5000 + at, 60) for at in range(41)]
+    rows = [(at, f"{passages[at]} {passages[at + 1]}") for at in range(40)] + [(50, passages[7] + " " + edited(passages[8], 1, 1))]
+    across = []
+    own = jaccard._across_parts
+    monkeypatch.setattr(jaccard, "_across_parts", lambda *a: across.append(1) or own(*a))
+    found = jaccard.jaccard_components(documents(spark, rows), k=3, pct=90, part=1000, paired=paired).collect()
+    assert {r.doc_id: r.component_id for r in found} == {**{at: at for at in range(40)}, 50: 7}
+    # Only without looking at the pairs is the chain one family of several parts.
+    assert bool(across) == (paired == 1)
+
+
 def test_rows_without_id(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (None, None)]
     found = jaccard.jaccard_components(documents(spark, rows)).collect()

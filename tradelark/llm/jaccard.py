@@ -8,7 +8,13 @@ the overlap of a node with all members of a group at once; only groups whose bou
 qualifies are opened and their members counted exactly. Groups that the node is already
 connected with need not be opened.
 
-A family too large for one task is dealt into parts. Parts are joined through hubs of
+In a large corpus unlike nodes share rare shingles by chance, and chains of them would grow into
+families without bound. The links of a family too large for one task are therefore looked
+at again: pairs of its nodes that share a rare shingle stay linked if their spreads allow
+it. A spread counts a node's shingles by classes of their hash; two spreads differ by no
+more than the sets do, so that no similar pair is parted.
+
+A family still too large for one task is dealt into parts. Parts are joined through hubs of
 their largest components; then all nodes outside the family's largest component, in blocks
 of the size of a part, meet every part, so that no link is lost; nodes that are connected by
 then are not compared again.
@@ -21,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +42,9 @@ SAMPLED, CELL_BITS, MOST_COUNT = 4, 22, 65_000
 GROUP, PART = 64, 1 << 21
 # Texts worked on at once.
 TEXTS = 512
+# Nodes of a large family that share a rare shingle are compared pair by pair up to so many, and
+# classes of a spread, as powers of two: of the smallest sets and of the largest.
+PAIRED, LEAST_CLASSES, MOST_CLASSES = 32, 4, 16
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -81,8 +91,31 @@ def _standing(tokens: np.ndarray, total: np.ndarray, common: int) -> np.ndarray:
     return np.where(_counted(tokens), counts, np.uint16(common))
 
 
+def _spread(tokens: np.ndarray) -> bytes:
+    """How many shingles of a set are in each class of their hashes, up to 255; about four on average."""
+    bits = min(max((len(tokens) // 4).bit_length(), LEAST_CLASSES), MOST_CLASSES)
+    classes = (tokens >> np.uint64(16) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return np.minimum(np.bincount(classes, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def spreads_apart(one: pa.Array, two: pa.Array) -> np.ndarray:
+    """By how much the spreads of each pair of sets differ: at most by the shingles that only one of both has."""
+    result = np.zeros(len(one), dtype=np.int64)
+    sizes = np.stack([pc.binary_length(side).to_numpy(zero_copy_only=False) for side in (one, two)])
+    for pair in np.unique(sizes, axis=1).T:
+        at = np.flatnonzero((sizes == pair[:, None]).all(axis=0))
+        few = int(pair.min())
+        # The classes of the finer spread that make one of the other's are added up.
+        sides = [
+            np.frombuffer(b"".join(side.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1, few).sum(axis=1, dtype=np.int64)
+            for side in (one, two)
+        ]
+        result[at] = np.abs(np.minimum(sides[0], 255) - np.minimum(sides[1], 255)).sum(axis=1)
+    return result
+
+
 def shingled(docs: DataFrame, k: int, pct: int) -> DataFrame:
-    """doc_id, n, node, rare of every row: set size, the set's number, its rarest shingles."""
+    """doc_id, n, node, rare, spread of every row: set size, the set's number, its rarest shingles, its spread."""
     total = _frequencies(docs, k)
     # What is not counted stands behind what all but the fullest cells hold: cells also hold
     # shingles of a single document that share them with others by chance.
@@ -102,16 +135,16 @@ def shingled(docs: DataFrame, k: int, pct: int) -> DataFrame:
                 "n": pa.array([len(tokens) for tokens in sets], pa.int64()),
                 "node": pa.array([_node(tokens) for tokens in sets], pa.int64()),
                 "rare": pa.array(rare, pa.list_(pa.int64())),
+                "spread": pa.array([_spread(tokens) for tokens in sets], pa.binary()),
             })
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        work, "doc_id long, n long, node long, rare array<long>"
+        work, "doc_id long, n long, node long, rare array<long>, spread binary"
     )
 
 
-def _families(nodes: DataFrame, pct: int) -> DataFrame:
-    """node, family of every node (node, n, rare) that shares a rare shingle with another."""
-    tokens = nodes.select("node", "n", F.explode("rare").alias("token"))
+def _stretched(tokens: DataFrame, pct: int) -> DataFrame:
+    """Links a, b of the nodes (token, node, n) that share a token: in each stretch of sizes within reach, with its first."""
     order = Window.partitionBy("token").orderBy("n", "node")
     before = F.lag("n").over(order)
     apart = before.isNull() | (before * 100 < F.col("n") * pct)
@@ -119,10 +152,44 @@ def _families(nodes: DataFrame, pct: int) -> DataFrame:
     # The first node of each stretch of sizes within reach of the next.
     stretch = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hub = F.last("first", ignorenulls=True).over(stretch)
-    links = marked.withColumn("hub", hub).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    return marked.withColumn("hub", hub).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+
+def _families(nodes: DataFrame, pct: int) -> DataFrame:
+    """node, family of every node (node, n, rare) that shares a rare shingle with another."""
+    links = _stretched(nodes.select("node", "n", F.explode("rare").alias("token")), pct)
     return components(staged(links.distinct(), "family-links", settle=True)).withColumnRenamed("component", "family")
 
 
+def _parted(nodes: DataFrame, pct: int, paired: int) -> DataFrame:
+    """node, family of the nodes (node, n, rare, spread) of large families: linked if they share a rare shingle and may be similar."""
+    tokens = nodes.select("node", "n", F.explode("rare").alias("token"))
+    shared = tokens.groupBy("token").count().where("count > 1")
+    tokens = staged(tokens.join(shared, "token"), "shared-shingles", settle=True)
+    few = tokens.where(F.col("count") <= paired)
+    # Of a pair, a is the smaller set.
+    one = few.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"))
+    two = few.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    within = (F.struct("n_a", "a") < F.struct("n_b", "b")) & (F.col("n_a") * 100 >= F.col("n_b") * pct)
+    pairs = one.join(two, "token").where(within).select("a", "n_a", "b", "n_b").distinct()
+    pairs = staged(pairs, "family-pairs", settle=True)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = spreads_apart(batch.column("spread_a"), batch.column("spread_b"))
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            # Similar sets of so many shingles together differ by no more than this.
+            yield batch.select(["a", "b"]).filter(pa.array(apart * (100 + pct) <= total * (100 - pct)))
+
+    for side in ("a", "b"):
+        spread = nodes.select(F.col("node").alias(side), F.col("spread").alias(f"spread_{side}"))
+        pairs = pairs.join(spread.hint("shuffle_hash"), side)
+    links = pairs.select("a", "b", "n_a", "n_b", "spread_a", "spread_b").mapInArrow(linked, "a long, b long")
+    many = _stretched(tokens.where(F.col("count") > paired), pct)
+    links = staged(links.unionByName(many).distinct(), "parted-links", settle=True)
+    return components(links).withColumnRenamed("component", "family")
+
+
 class _Forest:
     """Connected numbers 0 to n - 1."""
 
@@ -269,7 +336,7 @@ def _labelled(pct: int, group: int, own_labels: bool = False) -> Callable[[list[
 
 
 def jaccard_components(
-    docs: DataFrame, *, k: int = 3, pct: int = 90, group: int = GROUP, part: int = PART, hubs: int = 8
+    docs: DataFrame, *, k: int = 3, pct: int = 90, group: int = GROUP, part: int = PART, hubs: int = 8, paired: int = PAIRED
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
@@ -279,10 +346,10 @@ def jaccard_components(
     that share an id but not a text are separate rows. Other columns are ignored.
     """
     with workspace(docs.sparkSession):
-        return lasting(_joined(docs, k, pct, group, part, hubs), "jaccard-components")
+        return lasting(_joined(docs, k, pct, group, part, hubs, paired), "jaccard-components")
 
 
-def _joined(docs: DataFrame, k: int, pct: int, group: int, part: int, hubs: int) -> DataFrame:
+def _joined(docs: DataFrame, k: int, pct: int, group: int, part: int, hubs: int, paired: int) -> DataFrame:
     rows = staged(shingled(docs, k, pct), "shingled", settle=True)
     nodes = rows.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min_by("rare", F.coalesce("doc_id", F.lit(0))).alias("rare")
@@ -290,6 +357,13 @@ def _joined(docs: DataFrame, k: int, pct: int, group: int, part: int, hubs: int)
     families = staged(_families(nodes, pct), "families", settle=True)
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     known = staged(families.join(least, "node"), "family-nodes")
+    large = known.groupBy("family").agg(F.sum("n").alias("n")).where(F.col("n") > part).select("family")
+    if not large.isEmpty():
+        inside = known.join(large, "family", "left_semi").select("node")
+        inside = rows.where("n > 0").join(inside, "node", "left_semi").dropDuplicates(["node"])
+        inside = staged(inside.select("node", "n", "rare", "spread"), "large-family-nodes", settle=True)
+        parted = _parted(inside, pct, paired).join(least, "node")
+        known = staged(known.join(large, "family", "left_anti").unionByName(parted), "parted-nodes")
     sizes = known.groupBy("family").agg(F.ceil(F.sum("n") / part).alias("parts"))
     dealt = known.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     wanted = dealt.select("node", "n", "family", "parts", "part", F.col("doc_id").alias("wanted_id"))
