@@ -81,6 +81,7 @@ def test_spreads_differ_by_no_more_than_the_sets(monkeypatch):
     for most in (jaccard.MOST_CLASSES, 5):
         # With few classes counts pass 255.
         monkeypatch.setattr(jaccard, "MOST_CLASSES", most)
+        monkeypatch.setattr(jaccard, "CLASSES", 1 << 2 * most)
         ones, twos, wanted = [], [], []
         for size in (0, 1, 7, 60, 500, 3_000, 30_000):
             for other in (0, 1, size // 10, size):

@@ -43,8 +43,9 @@ GROUP, PART = 64, 1 << 21
 # Texts worked on at once.
 TEXTS = 512
 # Nodes of a large family that share a rare shingle are compared pair by pair up to so many, and
-# classes of a spread, as powers of two: of the smallest sets and of the largest.
+# classes of a spread, as powers of two: of the smallest sets and of the largest. Classes compared at once.
 PAIRED, LEAST_CLASSES, MOST_CLASSES = 32, 4, 16
+CLASSES = 1 << 20
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -105,12 +106,13 @@ def spreads_apart(one: pa.Array, two: pa.Array) -> np.ndarray:
     for pair in np.unique(sizes, axis=1).T:
         at = np.flatnonzero((sizes == pair[:, None]).all(axis=0))
         few = int(pair.min())
-        # The classes of the finer spread that make one of the other's are added up.
-        sides = [
-            np.frombuffer(b"".join(side.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1, few).sum(axis=1, dtype=np.int64)
-            for side in (one, two)
-        ]
-        result[at] = np.abs(np.minimum(sides[0], 255) - np.minimum(sides[1], 255)).sum(axis=1)
+        for some in np.array_split(at, -(-len(at) * int(pair.max()) // CLASSES)):
+            # The classes of the finer spread that make one of the other's are added up.
+            sides = [
+                np.frombuffer(b"".join(side.take(pa.array(some)).to_pylist()), np.uint8).reshape(len(some), -1, few).sum(axis=1, dtype=np.int32)
+                for side in (one, two)
+            ]
+            result[some] = np.abs(np.minimum(sides[0], 255) - np.minimum(sides[1], 255)).sum(axis=1)
     return result
 
 
