@@ -6,9 +6,11 @@ import hashlib
 import json
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -18,6 +20,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 from tests.llm.helpers import documents, sentence
 from tradelark.llm import align
 from tradelark.llm.queries import QUERIES
+from tradelark.plans import staging
+from tradelark.plans.staging import staged, staging_path
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 A = Tokenizer.from_file(PATHS[0])
@@ -141,6 +145,28 @@ def test_against_the_definition(spark, block, together):
     assert sorted(map(tuple, found.collect()), key=str) == plain(rows)
 
 
+def test_blocks_are_written_in_small_rows_and_groups(spark, monkeypatch):
+    rows = [(at, sentence(at, 20) if at % 5 else None) for at in range(60)]
+    monkeypatch.setattr(align, "ROW_LINKS", 100)
+    docs = documents(spark, rows).coalesce(1)
+    held = align._blocks(docs, *PATHS, 1 << 20, 500).collect()
+    assert len(held) > 5 and len({row.block for row in held}) == 1
+    assert [at for row in held for at in row.doc_ids] == list(range(60))
+    assert all(len(row.links) == 4 * sum(row.n_groups) for row in held)
+    # A row ends with the text that passes its links.
+    longest = max(n for row in held for n in row.n_groups)
+    assert max(sum(row.n_groups) for row in held) <= 100 + longest
+    assert held[0].pairs and not any(row.pairs or row.counts for row in held[1:])
+    assert sum(held[0].counts) == sum(sum(row.n_groups) for row in held)
+    assert sorted(map(tuple, align.align_documents(docs, *PATHS).collect()), key=str) == plain(rows)
+    written = staging_path
+    folders = []
+    monkeypatch.setattr(staging, "staging_path", lambda *a: folders.append(written(*a)) or folders[-1])
+    assert staged(spark.range(0, 50, 1, 1), "groups", rows=16).count() == 50
+    file = pq.ParquetFile(next(Path(folders[0].removeprefix("file:")).glob("*.parquet"))).metadata
+    assert [file.row_group(at).num_rows for at in range(file.num_row_groups)] == [16, 16, 16, 2]
+
+
 def test_empty_tables_and_texts(spark):
     assert align.align_documents(documents(spark, []), *PATHS).collect() == []
     found = align.align_documents(documents(spark, [(1, None), (2, "")]), *PATHS).collect()

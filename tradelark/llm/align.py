@@ -10,7 +10,7 @@ side in numpy.
 
 Tokens whose ends are common are linked. How often a pair of ids is linked is counted over
 the corpus: texts are kept in blocks, each with its distinct pairs, and the totals come
-back once per block and pair.
+back once per block and pair. A block is written as several rows, and rows in small groups.
 """
 
 from __future__ import annotations
@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 from tradelark.plans.staging import lasting, staged, workspace
 
 # Links of a block, and characters of text that are aligned side by side.
-BLOCK_LINKS, TOGETHER = 1 << 20, 1 << 21
+BLOCK_LINKS, TOGETHER = 1 << 20, 1 << 19
+# Links (and texts) of a row of a block, and such rows that are written, and read again, at once: a task
+# never holds all blocks of its texts.
+ROW_LINKS, ROWS = 1 << 17, 16
 # A pair of ids as one number.
 PAIR_BITS = 32
 _SPACE = "▁"
@@ -254,7 +257,10 @@ _BLOCKS = (
 
 
 def _blocks(docs: DataFrame, path_a: str, path_b: str, block: int, together: int) -> DataFrame:
-    """One row per block of texts: what is known of each, and the block's links as places in its distinct pairs."""
+    """Rows of the blocks of texts: what is known of each text, and its links as places in its block's distinct pairs.
+
+    A block has a row for about ROW_LINKS links; the first one has its pairs and how often each occurs.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizers(path_a, path_b)
@@ -263,28 +269,36 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, block: int, together: int
         number = TaskContext.get().partitionId() << 32
         doc_ids, parts, held = [], [], 0
 
-        def finished() -> pa.RecordBatch:
+        def finished() -> Iterator[pa.RecordBatch]:
             pairs, links, counts = np.unique(np.concatenate([one.pairs for one in parts]), return_inverse=True, return_counts=True)
             lists = {name: np.concatenate([getattr(one, name) for one in parts]) for name in ("n_a", "n_b", "n_groups")}
-            return pa.record_batch({
-                "block": pa.array([number], pa.int64()),
-                "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
-                **{name: pa.array([values], pa.list_(pa.int64())) for name, values in lists.items()},
-                "digests": pa.array([[digest for one in parts for digest in one.digests]], pa.list_(pa.string())),
-                "links": pa.array([links.astype("<i4").tobytes()], pa.binary()),
-                "pairs": pa.array([pairs], pa.list_(pa.int64())),
-                "counts": pa.array([counts.astype(np.int64)], pa.list_(pa.int64())),
-            })
+            digests = [digest for one in parts for digest in one.digests]
+            # Texts whose links begin in the same stretch of ROW_LINKS share a row.
+            ends = np.cumsum(lists["n_groups"])
+            begun = (ends - lists["n_groups"] + np.arange(len(ends))) // ROW_LINKS
+            edges = [0, *(np.flatnonzero(np.diff(begun)) + 1).tolist(), len(ends)]
+            at = np.append(0, ends)[edges].tolist()
+            for place, (first, last) in enumerate(zip(edges, edges[1:])):
+                own = slice(0 if place else None)
+                yield pa.record_batch({
+                    "block": pa.array([number], pa.int64()),
+                    "doc_ids": pa.array([doc_ids[first:last]], pa.list_(pa.int64())),
+                    **{name: pa.array([values[first:last]], pa.list_(pa.int64())) for name, values in lists.items()},
+                    "digests": pa.array([digests[first:last]], pa.list_(pa.string())),
+                    "links": pa.array([links[at[place] : at[place + 1]].astype("<i4").tobytes()], pa.binary()),
+                    "pairs": pa.array([pairs[own]], pa.list_(pa.int64())),
+                    "counts": pa.array([counts[own].astype(np.int64)], pa.list_(pa.int64())),
+                })
 
         for ids, texts in _text_batches(batches, together):
             parts.append(_Texts(texts, own, lengths, names))
             doc_ids.extend(ids)
             held += len(parts[-1].pairs) + len(ids)
             if held >= block:
-                yield finished()
+                yield from finished()
                 number, doc_ids, parts, held = number + 1, [], [], 0
         if doc_ids:
-            yield finished()
+            yield from finished()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(gather, _BLOCKS)
 
@@ -361,7 +375,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, *, block: int = B
     rows with null or repeated ids too. Other columns are ignored. An empty table gives no rows.
     """
     with workspace(docs.sparkSession):
-        blocks = staged(_blocks(docs, path_a, path_b, block, together), "align-blocks")
+        blocks = staged(_blocks(docs, path_a, path_b, block, together), "align-blocks", rows=ROWS)
         weights = staged(_pair_weights(blocks), "align-weights", settle=True)
         rows = blocks.drop("pairs", "counts").join(weights.hint("shuffle_hash"), "block", "left").drop("block")
         found = rows.mapInArrow(

@@ -52,16 +52,18 @@ def discard(spark: SparkSession, folder: str) -> None:
     files.delete(path, True)
 
 
-def staged(frame: DataFrame, label: str, *, compression: str = "zstd", settle: bool = False) -> DataFrame:
+def staged(frame: DataFrame, label: str, *, compression: str = "zstd", settle: bool = False, rows: int | None = None) -> DataFrame:
     """Write the frame now and return the same rows read from the written table.
 
     With ``settle`` the driver collects its garbage afterwards, upon which Spark deletes
     the shuffle files of finished steps that nothing refers to any more. Worth it after a
-    step that shuffled much; nothing but disk space depends on it.
+    step that shuffled much; nothing but disk space depends on it. ``rows`` are the most of a row
+    group, which is written and read as a whole: for long rows.
     """
     spark = frame.sparkSession
     folder = staging_path(spark, label)
-    frame.write.option("compression", compression).parquet(folder)
+    grouped = {"parquet.block.row.count.limit": rows} if rows else {}
+    frame.write.options(compression=compression, **grouped).parquet(folder)
     if settle:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
